@@ -137,8 +137,9 @@ def encode_pixels(pixels: DataFrame, dtype: str, tolerance: float | None = None,
         r, c, d = (group.column(x).to_numpy() for x in ("row", "col", "depth"))
         v = group.column("value")
         shape = (int(r.max()) + 1, int(c.max()) + 1, int(d.max()) + 1)
-        if len(group) != shape[0] * shape[1] * shape[2]:
-            raise ValueError(f"{len(group)} rows for {shape}")
+        # Places without a row, as at the end of a raster whose last row is short, are invalid.
+        if len(np.unique(np.ravel_multi_index((r, c, d), shape))) != len(group):
+            raise ValueError("a place has several rows")
         values, valid = np.zeros(shape), np.zeros(shape, bool)
         values[r, c, d] = v.fill_null(0.0).to_numpy()
         valid[r, c, d] = v.is_valid().to_numpy()

@@ -9,7 +9,8 @@ from rastrum.sources.raster import decode_blobs, raster_info
 
 
 def _blobs(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.readStream.format("binaryFile").load(path)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("raster_id"), F.col("content").alias("blob"))
 
 
