@@ -41,6 +41,15 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+#: Bounds of a bit map: 4 KB to 16 MB.
+MIN_BITS, MAX_BITS = 1 << 15, 1 << 27
+
+
+def map_bits(n: int) -> int:
+    """Bits of a map for n keys: 16 for each, within the bounds; a fuller map lets more other keys pass, and loses none."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
 def bitmap(keys: DataFrame, column: str, bits: int) -> bytes:
     """A bit map of `bits` bits (a multiple of 32768) in which the bits of all values of a BIGINT column are set.
 

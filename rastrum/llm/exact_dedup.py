@@ -15,11 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import bitmap, checkpoint, in_bitmap, no_spaces, table
+from rastrum.llm.common import bitmap, checkpoint, in_bitmap, map_bits, no_spaces, table
 
 PREFIX_CHARS = 64
-#: Bounds of the bit map of surviving groups: 4 KB to 16 MB.
-MIN_BITS, MAX_BITS = 1 << 15, 1 << 27
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -32,10 +30,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Length and prefix hash: groups of more than one survive.
     groups = base.groupBy(size.alias("_size"), head.alias("_head")).agg(F.count("*").alias("_n"))
     left = checkpoint(groups.where("_n > 1").select(F.xxhash64("_size", "_head").alias("_group")))
-    bits = MIN_BITS
-    while bits < min(MAX_BITS, 8 * left.count()):
-        bits *= 2
-    survivors = bitmap(left, "_group", bits)
+    survivors = bitmap(left, "_group", map_bits(left.count()))
 
     # Full hash, of survivors only; every row goes on with its id, its length and what is carried.
     rows = checkpoint(
