@@ -73,3 +73,25 @@ def in_bitmap(key: Column, bits: bytes) -> Column:
     b = F.pmod(key, F.lit(len(bits) * 8))
     byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits)), (b / F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
     return F.getbit(byte, F.pmod(b, F.lit(8)).cast("int")) == 1
+
+
+class BitMap:
+    """A bit map as rows of 4 KB that are broadcast to those they are held against; at most MAX_BITS / 8 bytes.
+
+    Unlike in_bitmap() it puts nothing into plans, which the driver keeps with all their literals.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, n: int):
+        self.bits = map_bits(n)
+        b = F.pmod(F.col(column), F.lit(self.bits))
+        rows = keys.select(F.floor(b / 32768).cast("int").alias("_part"), F.pmod(b, F.lit(32768)).cast("bigint").alias("bit"))
+        self.rows = checkpoint(rows.groupBy("_part").agg(F.bitmap_construct_agg("bit").alias("_map")))
+
+    def flag(self, df: DataFrame, key: Column, name: str) -> DataFrame:
+        """df with a column that is true where the key's bit is set."""
+        b = F.pmod(key, F.lit(self.bits))
+        df = df.withColumns({"_at": F.pmod(b, F.lit(32768)).cast("int"), "_part": F.floor(b / 32768).cast("int")})
+        df = df.join(F.broadcast(self.rows), "_part", "left")
+        byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+        bit = F.getbit(byte, F.pmod(F.col("_at"), F.lit(8))) == 1
+        return df.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "_part", "_map")
