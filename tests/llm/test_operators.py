@@ -279,7 +279,7 @@ def test_many_rules(spark):
 def plain_removed(docs):
     lines = [(i, k, tuple(WORD.findall(x))) for i, t in docs if t is not None for k, x in enumerate(t.split("\n"))]
     lines = sorted(x for x in lines if x[2])
-    sets = [{w[j : j + 5] for j in range(max(1, len(w) - 4))} for *_, w in lines]
+    sets = [set(w) for *_, w in lines]
     gone = set()
     for b in range(len(lines)):
         for a in range(b):
@@ -290,23 +290,55 @@ def plain_removed(docs):
     return gone
 
 
-def test_line_dedup(docs_of):
-    """Groups of near copies whose earliest member is not like all the others, so later rounds have work."""
-    r = random.Random(7)
-    base = [[f"w{r.randint(0, 200)}" for _ in range(r.choice([3, 6, 12, 45, 90]))] for _ in range(10)]
+def line_docs(seed, n=150):
+    r = random.Random(seed)
+    base = [[f"w{r.randint(0, 200)}" for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 12, 14, 45, 90, 130]))] for _ in range(14)]
 
     def variant():
         w = list(r.choice(base))
-        for _ in range(r.randint(0, 3)):
-            w[r.randrange(len(w))] = f"n{r.randint(0, 9)}"
+        for _ in range(r.choice([0, 1, 1, 2, 3, 9])):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randint(0, 1)] = r.choice([[], [f"n{r.randint(0, 9)}"]])
+        r.shuffle(w) if r.random() < 0.2 else None
         return r.choice([" ", "  ", "\t"]).join(w)
 
-    docs = [(i, "\n".join(variant() for _ in range(r.randint(0, 4)))) for i in range(150)]
-    got = {(x.doc_id, k) for x in line_dedup.removed_lines(docs_of(docs)).collect() for k in x.removed}
+    return [(i, "\n".join(variant() for _ in range(r.randint(0, 4)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_line_dedup(docs_of, monkeypatch, width):
+    """Groups of near copies whose earliest member is not like all the others, so later rounds have work."""
+    if width == 3:  # all words are frequent: no gram is listed, and all are salted
+        monkeypatch.setattr(line_dedup, "FREQUENT", 0)
+    if width == 4:
+        monkeypatch.setattr(line_dedup, "LISTED", 50)
+    docs = line_docs(width)
+    got = {(x.doc_id, k) for x in line_dedup.removed_lines(docs_of(docs), width=width).collect() for k in x.removed}
     want = plain_removed(docs)
     assert got == want and len(want) > 40
 
 
+def test_line_dedup_of_one_changed_word(docs_of):
+    line = "the quick brown fox jumps over a lazy dog and runs far away home".split()
+    other = [*line[:6], "one", *line[7:]]
+    got = line_dedup.removed_lines(docs_of([(1, " ".join(line)), (2, " ".join(other)), (3, " ".join(line[:5]))])).collect()
+    assert [(r.doc_id, r.removed) for r in got] == [(2, [0])]  # 13 of 15 words, 0.87
+
+
+def test_prefixes_hold_a_common_gram():
+    """Of any two similar sets of few tokens, for each width."""
+    r = random.Random(8)
+    for _ in range(4000):
+        x = sorted(r.sample(range(400), r.randint(1, 40)))
+        y = sorted({*r.sample(x, max(0, len(x) - r.randint(0, 8))), *r.sample(range(400), r.randint(0, 8))})
+        if not y or 9 * len({*x} & {*y}) < 4 * (len(x) + len(y)):
+            continue
+        for width in (1, 2, 3, 4):
+            size = lambda n: 1 + max(width * ((n - 4 * b) // 5) + (width - 1) * b for b in range(5) if n >= 4 * b)
+            grams = [{tuple(s[i : i + width]) for i in range(min(len(s), size(len(s))))} for s in (x, y)]
+            assert size(len(x)) <= len(x) and grams[0] & grams[1]
+
+
 def test_dedup_lines(docs_of):
     out = line_dedup.dedup_lines(docs_of([(1, "a b\nc"), (2, "x\na  b\n\ny"), (3, "c"), (4, None), (5, "")])).collect()
     assert {r.doc_id: r.text for r in out} == {1: "a b\nc", 2: "x\n\ny", 4: None, 5: ""}
