@@ -8,8 +8,10 @@ are not trusted. Where an overlap holds no common boundary, as in a word longer
 good boundary until it meets a later chunk's. Shorter texts are one chunk and are encoded where they are read. Decoding
 concatenates the tokens' raw bytes.
 
-Cases: a null text counts as empty; an empty text has no tokens. Every row gives one row, repeats included; chunks of
-rows alike in all kept columns and text meet and give as many rows. An empty table gives no rows.
+Cases: a null text counts as empty; an empty text has no tokens. Very long texts are chunks of bounded size until they
+are stitched, one text to a task. Every row gives one row, repeats included: long texts alike in all kept columns are
+encoded once. An empty table gives no rows. Other columns may have any names: those kept go along in one struct, and
+only two results of one name are refused, with a ValueError.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rastrum.llm.common import table, text_key
+from rastrum.llm.common import as_row, table
 
 CHUNK, OVERLAP = 32768, 1024
 #: Code points before a chunk's end at which a match may still change: the longest contraction is 3 long.
@@ -175,48 +178,45 @@ def _batches(rows: Iterable[tuple[int, list]], schema: pa.Schema) -> Iterator[pa
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, keep: list[str], outputs: list[str], text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """The kept columns of every document and the named OUTPUTS of its ids."""
-    if clash := set(keep) & set(outputs):
+    """The kept columns of every document and the named OUTPUTS of its ids; none of both may have the same name."""
+    if clash := {k.lower() for k in keep} & {o.lower() for o in outputs}:
         raise ValueError(f"columns {sorted(clash)} would appear twice")
-    kept = T.StructType([docs.schema[k] for k in keep])
-    out = T.StructType([*kept, *[T.StructField(o, T._parse_datatype_string(OUTPUTS[o][0])) for o in outputs]])
+    docs = docs.select(as_row(docs.select(*keep)).alias("row"), F.col(text_col).alias("text"))
+    row = docs.schema["row"]
+    field = lambda name, kind: T.StructField(name, T._parse_datatype_string(kind))
+    out = T.StructType([row, *[field(o, OUTPUTS[o][0]) for o in outputs]])
     out_arrow = to_arrow_schema(out)
     make = [OUTPUTS[o][1] for o in outputs]
-    n_keep = len(keep)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            cols = [b.column(i) for i in range(b.num_columns)]
             for i in range(b.num_rows):
-                yield [x[i].as_py() for x in cols]
+                yield [x[i].as_py() for x in b.columns]
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
 
         def each():
-            for b in batches:
-                texts = b.column(n_keep)
-                others = [b.column(i).to_pylist() for i in range(n_keep)]
-                for i in range(b.num_rows):
-                    ids = c.encode(text := texts[i].as_py() or "")
-                    yield len(text) + 64, [*[x[i] for x in others], *[f(c, ids) for f in make]]
+            for kept, text in rows(batches):
+                ids = c.encode(text := text or "")
+                yield len(text) + 64, [kept, *[f(c, ids) for f in make]]
 
         yield from _batches(each(), out_arrow)
 
-    docs = docs.select(*keep, F.col(text_col).alias("_text"))
-    short = docs.where(F.col("_text").isNull() | (F.length("_text") <= chunk)).mapInArrow(whole, out)
+    short = docs.where(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(whole, out)
 
-    cut_type = T.StructType([*kept, T.StructField("_key", T.LongType()), T.StructField("_k", T.IntegerType()), T.StructField("_n", T.IntegerType()), T.StructField("_part", T.StringType())])
+    # Of rows alike in all kept columns and text one is encoded, `times` tells how often; a chunk is a row of its own.
+    cut_type = T.StructType([row, field("times", "bigint"), field("key", "binary"), field("k", "int"), field("n", "int"), field("part", "string")])
     cut_arrow = to_arrow_schema(cut_type)
-    scan_type = T.StructType([*cut_type, T.StructField("_ends", T.ArrayType(T.IntegerType()))])
+    scan_type = T.StructType([*cut_type, field("ends", "array<int>")])
     scan_arrow = to_arrow_schema(scan_type)
 
     def pieces_of(batches):
         def each():
-            for *others, text, key in rows(batches):
+            for kept, text, key, times in rows(batches):
                 parts = cut(text, chunk, overlap)
                 for k, p in enumerate(parts):
-                    yield len(p), [*others, key, k, len(parts), p]
+                    yield len(p), [kept, times, key, k, len(parts), p]
 
         yield from _batches(each(), cut_arrow)
 
@@ -226,20 +226,21 @@ def encode(docs: DataFrame, ranks: str, pattern: str, keep: list[str], outputs:
 
     def join(group: pa.Table) -> pa.Table:
         c = codec(ranks, pattern)
-        order, ends, parts = group.column("_k").to_pylist(), group.column("_ends"), group.column("_part")
-        first = {}
-        for i, k in enumerate(order):
-            first.setdefault(k, i)
-        at = [first[k] for k in range(len(first))]
-        ids = stitch(c, [parts[i].as_py() for i in at], [ends[i].as_py() for i in at], chunk)
-        values = [f(c, ids) for f in make]
-        alike = order.count(0)
-        head = [group.column(k)[at[0]].as_py() for k in range(n_keep)]
-        return pa.Table.from_arrays([pa.array([v] * alike, t.type) for v, t in zip([*head, *values], out_arrow)], schema=out_arrow)
-
-    long_ = docs.where(F.length("_text") > chunk).withColumn("_key", text_key("_text")).mapInArrow(pieces_of, cut_type)
-    stitched = long_.repartition("_key", "_k").mapInArrow(scan, scan_type).groupBy(*keep, "_key").applyInArrow(lambda g: join(g), out)
-    return short.unionByName(stitched)
+        order = np.argsort(group.column("k").to_numpy(), kind="stable").tolist()
+        ends, parts = group.column("ends"), group.column("part")
+        ids = stitch(c, [parts[i].as_py() for i in order], [ends[i].as_py() for i in order], chunk)
+        values = [group.column("row")[0].as_py(), group.column("times")[0].as_py(), *[f(c, ids) for f in make]]
+        return pa.Table.from_arrays([pa.array([v], t.type) for v, t in zip(values, done_arrow)], schema=done_arrow)
+
+    done = T.StructType([row, field("times", "bigint"), *out.fields[1:]])
+    done_arrow = to_arrow_schema(done)
+    long_ = docs.where(F.length("text") > chunk).withColumn("key", F.unhex(F.sha2("text", 256)))
+    long_ = long_.groupBy("row", "key").agg(F.first("text").alias("text"), F.count("*").alias("times")).select("row", "text", "key", "times")
+    pieces = long_.mapInArrow(pieces_of, cut_type)
+    stitched = pieces.repartition("row", "key", "k").mapInArrow(scan, scan_type).groupBy("row", "key").applyInArrow(lambda g: join(g), done)
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))
+    stitched = stitched.withColumn("copy", again).select("row", *outputs)
+    return short.unionByName(stitched).select("row.*", *outputs)
 
 
 def decode(frame: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -> DataFrame:

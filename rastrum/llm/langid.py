@@ -3,12 +3,16 @@
 Letters are lower-cased, everything else between them becomes one space, and n-grams of one to three characters are
 hashed into BUCKETS features. Document frequencies are counted over all rows that may be learned from. The weights are
 trained by follow-the-regularised-leader with elastic-net penalties on a sample of at most about MAX_ROWS of these
-rows, shared evenly among the languages and chosen by a hash of their ids; a fifth of the sample is kept back, and on
-it the temperature that divides the logits is fitted. Documents are scored where they are read.
-
-Cases: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned. Rows
-with a null id, null language or null text are not learned from; a row with a null id is not held out. Repeated rows
-are scored one by one. Of equally likely languages the first by code point wins. An empty table gives no rows.
+rows (LEAST_ROWS a language, if there are very many), shared evenly among all languages and chosen by a hash of their
+ids and texts; a fifth of the sample is kept back, and on it the temperature that divides the logits is fitted.
+Documents are scored where they are read. The model holds BUCKETS weights for each language, which all are learned, so
+it is made for the thousand or so languages there are.
+
+Cases: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned. Very
+long texts are counted whole. Rows with a null id, null language or null text are not learned from; a row with a null
+id is not held out. Rows that repeat an id and text are learned from once, and scored one by one. Of equally likely
+languages the first by code point wins. An empty table gives no rows. Other columns may have any names: they go along
+in one struct.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import table
+from rastrum.llm.common import as_row, table
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
-#: The bound of the training sample, and of the languages to learn (the most frequent ones).
-MAX_ROWS, MAX_LANGS = 4000, 512
+#: The bound of the training sample, shared among the languages, and the rows of each that are taken in any case.
+MAX_ROWS, LEAST_ROWS = 4000, 8
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 0.02, 1e-4
 UNKNOWN = "und"
 HOLD_OUT = (4, 2)
@@ -139,9 +143,9 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """rows: id, text, lang, of which all may be learned from."""
-    rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted((r["lang"] for r in counts), key=lambda s: s.encode())
+    rows = rows.select("id", "text", "lang").where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(counts, key=lambda s: s.encode())
     df = rows.select("text").mapInArrow(_document_frequencies, "bucket bigint, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
     seen = np.zeros(BUCKETS + 1)
     for r in df:
@@ -149,30 +153,37 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     idf = np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1
     if not langs:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)))
-    share = {r["lang"]: min(1.0, max_rows / len(langs) / r["count"]) for r in counts}
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("id")), F.lit(1 << 30))
-    sample = rows.where(draw < limit).select("text", "lang", F.xxhash64(F.col("id"), F.xxhash64("text")).alias("draw"))
+    share = max(LEAST_ROWS, max_rows / len(langs))
+    limits = _limits(rows.sparkSession, {k: min(1.0, share / n) for k, n in counts.items()})
+    # The draw is of id and text, so rows that repeat an id do not come together; repeats of a row are one.
+    draw = F.xxhash64("id", "text")
+    drawn = rows.withColumn("draw", draw).join(limits, "lang").where(F.pmod(F.xxhash64(F.lit("langid"), "draw"), F.lit(1 << 30)) < F.col("limit"))
+    sample = drawn.select("text", "lang", "draw").dropDuplicates(["draw", "lang"])
     got = sample.mapInArrow(_features, "at binary, counts binary, lang string, draw bigint").collect()
     got.sort(key=lambda r: (r["draw"], r["lang"]))
     index = {k: i for i, k in enumerate(langs)}
     return fit(langs, idf, [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.float64), index[r["lang"]]) for r in got])
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs' columns without the text, then lang_pred and score."""
+def _limits(spark: SparkSession, shares: dict[str, float]) -> DataFrame:
+    """The draws below which a language's rows are in the sample; one row a language."""
+    return F.broadcast(spark.createDataFrame([(k, int(v * (1 << 30))) for k, v in shares.items()], "lang string, limit bigint"))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, lang_pred, score): the kept columns, by default all, of docs' rows, each as one struct, and what is told of their text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
-    schema = docs.select(*others, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    rows = docs.select(as_row(docs if keep is None else docs.select(*keep)).alias("row"), F.col(text_col).alias("text"))
+    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.predict(x.as_py()) for x in b.column(b.num_columns - 1)]
+            found = [m.predict(x.as_py()) for x in b.column(1)]
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*others, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["row", "lang_pred", "score"])
 
-    return docs.select(*others, F.col(text_col).alias("_text")).mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema)
 
 
 def remainder(id_col: str, mod: int) -> Column:
@@ -184,7 +195,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     mod, held = HOLD_OUT
     r = remainder("doc_id", mod)
     model = train(docs.where(r != held).select(F.col("doc_id").alias("id"), "text", "lang"))
-    return predict(docs.select("doc_id", F.coalesce(r == held, F.lit(False)).alias("held_out"), "text"), model)
+    rows = docs.select("doc_id", F.coalesce(r == held, F.lit(False)).alias("held_out"), "text")
+    return predict(rows, model, keep=["doc_id", "held_out"]).select("row.*", "lang_pred", "score")
 
 
 QUERIES = {"op2_language_id": op2_language_id}

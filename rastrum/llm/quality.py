@@ -8,9 +8,11 @@ function of an intercept and the looked-up entries, summed for whole batches at
 The model is fitted on a sample of at most about MAX_ROWS labelled rows, chosen by a hash of their ids; every document
 is scored where it is read.
 
-Cases: a null text counts as empty, and an empty text is scored as any other. Labels that are null, or of ids without
-a document, are not learned from; an id that is labelled twice counts twice. A row with a null id is not held out.
-Without labelled rows of both kinds the score is the share of ones (0.5 without any). An empty table gives no rows.
+Cases: a null text counts as empty, and an empty text is scored as any other. Very long texts are measured whole.
+Labels that are null, or of ids without a document, are not learned from; repeats of an id's text and label count once.
+A row with a null id is not held out. Without labelled rows of both kinds the score is the share of ones (0.5 without
+any). Repeated rows are scored one by one. An empty table gives no rows. Other columns may have any names: they go
+along in one struct.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import table
+from rastrum.llm.common import as_row, table
 from rastrum.llm.langid import remainder
 
 #: The bound of the training sample.
@@ -167,7 +169,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """docs: id, text; labels: id, label (0 or 1), all of which may be learned from."""
-    labels = labels.where(F.col("id").isNotNull() & F.col("label").isNotNull())
+    # Labels of one id are one row, however often they are repeated.
+    labels = labels.where(F.col("id").isNotNull() & F.col("label").isNotNull()).select("id", "label").distinct()
     total = labels.count()
     limit = int(min(1.0, max_rows / max(1, total)) * (1 << 30))
     sample = labels.where(F.pmod(F.xxhash64(F.lit("quality"), F.col("id")), F.lit(1 << 30)) < limit)
@@ -179,22 +182,23 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             values = [measures(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "label", "draw"])
 
-    got = rows.select("text", "label", F.xxhash64("id", "text").alias("draw")).mapInArrow(each, "x array<double>, label double, draw bigint").collect()
+    rows = rows.select("text", "label", F.xxhash64("id", "text").alias("draw")).dropDuplicates(["draw", "label"])
+    got = rows.mapInArrow(each, "x array<double>, label double, draw bigint").collect()
     got.sort(key=lambda r: (r["draw"], r["label"]))
     return fit(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got]))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs' columns without the text, then score."""
-    others = [c for c in docs.columns if c != text_col]
-    schema = docs.select(*others, F.lit(0.0).alias("score")).schema
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, score): the kept columns, by default all, of docs' rows, each as one struct, and the score of their text."""
+    rows = docs.select(as_row(docs if keep is None else docs.select(*keep)).alias("row"), F.col(text_col).alias("text"))
+    schema = rows.select("row", F.lit(0.0).alias("score")).schema
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([measures(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*others, "score"])
+            x = np.array([measures(t.as_py()) for t in b.column(1)]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["row", "score"])
 
-    return docs.select(*others, F.col(text_col).alias("_text")).mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +207,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", mod) != held)
     model = train(docs.select(F.col("doc_id").alias("id"), "text"), labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", mod) == held, F.lit(False)).alias("held_out"), "text")
-    return score(rows, model).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return score(rows, model, keep=["doc_id", "held_out"]).select("row.*", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 QUERIES = {"op6_quality": op6_quality}

@@ -12,8 +12,9 @@ bucket are compared at once, with a carry-save counter of differing bits in each
 their lanes exceed the radius. Pairs that are already connected are not compared again, so a bucket of near copies
 costs little more than its size, and it returns a forest, never all its pairs.
 
-Cases: a null text counts as empty. Repeated rows share a fingerprint and a component. component_id is the smallest
-doc_id reachable, null only if no document of the component has an id. An empty table gives no rows.
+Cases: a null text counts as empty. Very long texts are hashed whole, HASHES_AT_ONCE shingles at a time. Repeated rows
+share a fingerprint and a component. component_id is the smallest doc_id reachable, null only if no document of the
+component has an id. An empty table gives no rows. Other columns may have any names: those kept go along in one struct.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import checkpoint, table
+from rastrum.llm.common import as_row, checkpoint, table
 from rastrum.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -35,6 +36,7 @@ TILE, WANTED = 2048, 256
 #: Rows that are compared together, in groups that are not split between batches.
 BATCH_ROWS = 1 << 16
 HASHES_AT_ONCE = 1 << 16
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str | None) -> int:
@@ -60,15 +62,16 @@ def _signed(x: int) -> int:
 
 
 def with_fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns and `fp`, the fingerprint as a signed 64-bit number."""
-    schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("bigint")).schema
+    """(row, fp): the kept columns of docs' rows, each as one struct, and the fingerprint as a signed 64-bit number."""
+    rows = docs.select(as_row(docs.select(*keep)).alias("row"), F.col(text_col).alias("text"))
+    schema = rows.select("row", F.lit(0).cast("bigint").alias("fp")).schema
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(x.as_py())) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*keep, "fp"])
+            fps = [_signed(fingerprint(x.as_py())) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["row", "fp"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema)
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -210,19 +213,24 @@ def near_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The kept columns (with the id among them), fp and component_id of every document."""
+    """(row, fp, component_id) of every document: the kept columns (the id among them) as one struct, fingerprint and component."""
     rows = checkpoint(with_fingerprints(docs, keep, text_col))
-    fps = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = connected_components(near_links(fps.select("fp"), fps.count(), radius), "a", "b")
-    classes = checkpoint(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    fps = checkpoint(rows.groupBy("fp").agg(F.min(F.col("row").getField(id_col)).alias("first"), F.count("*").alias("n")))
+    totals = fps.agg(F.count("*").alias("fps"), F.sum("n").alias("rows")).first()
+    roots = connected_components(near_links(fps.select("fp"), totals["fps"], radius), "a", "b")
+    classes = checkpoint(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")))
     ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(ids, "root").select("fp", "component_id")
-    return rows.join(classes, "fp")
+    classes = checkpoint(classes.join(ids, "root").select("fp", "n", "component_id"))
+    # Fingerprints of more than one row in HOT_SHARE, of which there are fewer than HOT_SHARE, are broadcast.
+    hot = F.col("n") > (totals["rows"] or 0) / HOT_SHARE
+    out = rows.join(F.broadcast(classes.where(hot).select("fp", F.struct("component_id").alias("of"))), "fp", "left")
+    few = out.where("of IS NULL").drop("of").join(classes.where(~hot).select("fp", F.struct("component_id").alias("of")), "fp")
+    return out.where("of IS NOT NULL").unionByName(few).select("row", "fp", "of.component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op4_simhash": op4_simhash}

@@ -1,12 +1,16 @@
 """URL filters, in DataFrame functions only.
 
-Every rule becomes a regular expression and a set of literal tokens: the labels of its host and the whole segments of
-its path. It is indexed by the one of these that is rarest over all URLs. A URL's tokens fetch the rules to try, and
-only those run their expressions; the longest rule that fits decides. Few rules are an array in the plan, so that a URL
-is judged where it is read; more of them are joined by token, over distinct URLs.
-
-Cases: a null url, or one without "://", has an empty host and path and meets no rule. A url that no rule fits gets the
-default verdict. Of equally long rules that fit, the last by code point decides. Repeated rows are judged one by one.
+Every rule is a host, with all its subdomains, and the beginning of a path. It has a set of literal tokens, the labels
+of its host and the whole segments of its path, and is indexed by the one of these that is rarest over all URLs. The
+tokens of the distinct URLs fetch the rules to try by a join, whatever their number, and only those run their
+expressions; the longest rule that fits decides. Verdicts go back to the pages by URL: pages of URLs that no rule fits
+are found by a bit map and stay where they are, and URLs of more than one page in HOT_SHARE, of which there are fewer
+than HOT_SHARE, are broadcast, so no frequent URL is dealt to one task.
+
+Cases: a null url, or one without "://", has an empty host and path and meets no rule; an empty host is met by none. A
+url that no rule fits gets the default verdict. Very long urls are as others. Of equally long rules that fit, the last
+by code point decides. Repeated rows are judged one by one. An empty table gives no rows; without rules all pages get
+the default. Other columns may have any names: they go along in one struct.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import table
+from rastrum.llm.common import BitMap, as_row, checkpoint, table
 
-#: Up to so many rules stand in the plan itself.
-INLINE_RULES = 64
+HOT_SHARE = 1000
+#: Bytes of rules that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -35,9 +40,8 @@ class Rule:
 
     @property
     def pattern(self) -> str:
-        """Over host, a space and path."""
-        quoted = lambda s: re.sub(r"([^A-Za-z0-9/_])", r"\\\1", s)
-        return rf"^(?:[^ ]*\.)?{quoted(self.host)} {quoted(self.path)}"
+        """Over the host: the rule's own, or a name below it."""
+        return r"(?:^|\.)" + re.sub(r"([^A-Za-z0-9_])", r"\\\1", self.host) + r"\z"
 
     @property
     def tokens(self) -> list[str]:
@@ -69,49 +73,49 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, segments))
 
 
+def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of rules, to be broadcast if their bytes are few."""
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if sum(len(str(x)) * 4 + 16 for r in rows for x in r) <= BROADCAST_BYTES else out
+
+
 def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str]:
-    """The token that each rule is indexed by. urls: _tokens. Counts of the rules' own tokens come to the driver."""
-    own = sorted({t for r in rules for t in r.tokens})
-    mine = urls.sparkSession.createDataFrame([(t,) for t in own], "_token string")
-    if len(own) <= 10_000:
-        mine = F.broadcast(mine)
-    seen = urls.select(F.explode("_tokens").alias("_token")).join(mine, "_token", "left_semi").groupBy("_token").count()
-    counts = {r["_token"]: r["count"] for r in seen.collect()}
+    """The token that each rule is indexed by. urls: host, path, n (pages). Counts of the rules' own tokens come to the driver."""
+    mine = rule_table(urls.sparkSession, sorted({(t,) for r in rules for t in r.tokens}), "token string")
+    tokens = urls.select("n", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
+    counts = {r["token"]: r["n"] for r in tokens.join(mine, "token").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     return {r: min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules}
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """pages with _host, _path, _rule (null if none fits) and _verdict."""
+    """(row, host, path, rule, verdict): pages' rows, each as one struct, and their verdicts; rule is null if none fits."""
     if any(not r.tokens for r in rules):
         raise ValueError("a rule needs a host")
-    rows = pages.withColumn("_host", url_host(F.col(url_col))).withColumn("_path", url_path(F.col(url_col)))
-    rows = rows.withColumn("_tokens", url_tokens(F.col("_host"), F.col("_path")))
-    index = rarest_tokens(rows, rules) if rules else {}
-    target = F.concat_ws(" ", "_host", "_path")
-    if len(rules) <= INLINE_RULES:
-        fits = [
-            F.when(F.array_contains("_tokens", token) & target.rlike(r.pattern), F.struct(F.lit(len(r.name)).alias("n"), F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict")))
-            for r, token in index.items()
-        ]
-        best = F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
-        rows = rows.withColumn("_best", best)
-    else:
-        table_ = pages.sparkSession.createDataFrame([(t, r.name, r.pattern, r.verdict) for r, t in index.items()], "_token string, rule string, pattern string, verdict string")
-        urls = rows.select("_host", "_path", "_tokens").distinct()
-        found = (
-            urls.select("_host", "_path", F.explode("_tokens").alias("_token"))
-            .join(table_, "_token")
-            .where(F.regexp_like(target, F.col("pattern")))
-            .groupBy("_host", "_path")
-            .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("_best"))
-        )
-        rows = rows.join(found, ["_host", "_path"], "left")
-    return rows.select(*pages.columns, "_host", "_path", F.col("_best.rule").alias("_rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("_verdict"))
+    spark = pages.sparkSession
+    rows = pages.select(as_row(pages).alias("row"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    judged = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
+    if not rules:
+        return rows.select("row", "host", "path", judged["rule"].alias("rule"), F.lit(default).alias("verdict"))
+    urls = checkpoint(rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")))
+    index = rule_table(spark, [(t, r.name, r.pattern, r.path, r.verdict) for r, t in rarest_tokens(urls, rules).items()], "token string, rule string, pattern string, start string, verdict string")
+    tried = urls.select("host", "path", "n", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(index, "token")
+    fits = tried.where(F.regexp_like("host", F.col("pattern")) & F.startswith(F.col("path"), F.col("start")))
+    best = F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")
+    found = checkpoint(fits.groupBy("host", "path").agg(F.first("n").alias("n"), best))
+
+    url = F.xxhash64("host", "path")
+    totals = found.agg(F.count("*").alias("urls"), F.sum("n").alias("pages")).first()
+    rows = BitMap(found.select(url.alias("b")), "b", totals["urls"]).flag(rows, url, "met")
+    hot = found.where(F.col("n") > (totals["pages"] or 0) / HOT_SHARE).select("host", "path", "best")
+    met = rows.where("met").drop("met").join(F.broadcast(hot), ["host", "path"], "left")
+    few = met.where("best IS NULL").drop("best").join(found.select("host", "path", "best"), ["host", "path"], "left")
+    out = rows.where("NOT met").drop("met").withColumn("best", judged).unionByName(met.where("best IS NOT NULL")).unionByName(few)
+    return out.select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), list(RULES))
-    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+    return out.select("row.page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE = r"""
