@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -61,9 +62,13 @@ class Tables:
         df.write.option("parquet.enable.dictionary", "false").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables, and the shuffles of steps whose frames are gone, which Spark does when the driver's garbage is collected."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def as_row(df: DataFrame) -> Column:
@@ -81,8 +86,8 @@ MIN_BITS, MAX_BITS = 1 << 15, 1 << 27
 
 
 def map_bits(n: int) -> int:
-    """Bits of a map for n keys: 16 for each, within the bounds; a fuller map lets more other keys pass, and loses none."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+    """Bits of a map for n keys: 32 for each, within the bounds; a fuller map lets more other keys pass, and loses none."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << (32 * max(n, 1) - 1).bit_length()))
 
 
 class BitMap:
