@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from rastrum.llm.common import checkpoint
 
-MAX_ROUNDS = 60
-
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node of a link, root being the smallest node that it reaches; null ends are ignored."""
+    """(node, root) for every node of a link, root being the smallest node that it reaches; null ends are ignored.
+
+    It ends when a round changes nothing; rounds grow with the logarithm of the longest chain.
+    """
     edges = checkpoint(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Large star: larger neighbours of a node move to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -27,4 +28,3 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
-    raise RuntimeError("components did not settle")

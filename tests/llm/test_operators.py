@@ -212,12 +212,40 @@ def test_components(spark):
 
 
 # 5
-def test_licenses(docs_of):
-    mit = dict(licenses.TEMPLATES)["mit"]
-    half = " ".join(mit.split()[: len(mit.split()) // 2])
-    docs = docs_of([(1, "filler words " * 200 + mit.upper() + " more " * 90), (2, half), (3, "x " * 7 + "RELEASED under the MIT   License!"), (4, "released under the mit"), (5, None)])
-    got = {(r.doc_id, r.license) for r in licenses.find_licenses(docs, list(licenses.TEMPLATES)).collect()}
-    assert got == {(1, "mit"), (3, "mit-notice")}
+def plain_licenses(docs, templates):
+    """Exact containment in all windows."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = {}
+    for i, t in docs:
+        own = grams(words(t))
+        for name, body in templates:
+            s = set(grams(words(body)))
+            c = 1 << (len(s) - 1).bit_length()
+            best = max((len(s & set(own[k : k + 2 * c])) / len(s) for k in range(0, len(own), c)), default=0)
+            if best >= 0.8:
+                out[i, name] = best
+    return out
+
+
+def test_licenses(spark, docs_of):
+    """Copies with edits, cuts and offsets, of which some contain 0.8 of a template."""
+    r = random.Random(9)
+    some = [(n, b.split()) for n, b in licenses.TEMPLATES]
+    docs = [(1, None), (2, ""), (3, "x " * 7 + "RELEASED under the MIT   License!"), (4, "released under the mit")]
+    for i in range(5, 160):
+        name, w = r.choice(some)
+        w = w[r.randint(0, len(w) // 6) :]
+        for _ in range(r.randint(0, max(1, len(w) // 30))):
+            w[r.randrange(len(w))] = "other"
+        filler = lambda: [f"f{r.randint(0, 99)}" for _ in range(r.randint(0, 400))]
+        docs.append((i, " ".join([*filler(), *w, *filler()])))
+    found = licenses.find_licenses(docs_of([*docs, docs[20]]), licenses.known_templates(spark)).collect()
+    want = plain_licenses(docs, licenses.TEMPLATES)
+    assert len(found) == len(want) and {(x.doc_id, x.license): x.contained for x in found} == want and 60 < len(want) < 200
+    assert any(v < 1 for v in want.values()) and {n for _, n in want} >= {"mit", "zlib", "bsd-2-clause"}
+    with pytest.raises(ValueError):
+        licenses.find_licenses(docs_of(docs), spark.createDataFrame([("short", "of four words only")], "license string, body string"))
 
 
 # 6
