@@ -9,7 +9,7 @@ from rastrum.functions import columns as C
 from rastrum.operators import predict, stats, tiles
 from rastrum.operators.grid import KEY
 
-#: Decimal grids on which values may lie exactly: the coarsest first.
+#: Decimal grids on which values may lie exactly, the coarsest first, and the places from which planes are told.
 FACTORS = (1, 2, 10, 20, 100, 200, 1000, 2000, 10000)
 LEAST_FOR_PLANES = 5000
 
@@ -48,7 +48,10 @@ def nodata_sentinel(low: Column, tolerance: float, dtype: str, no_data: float) -
         options = [F.floor(limit).cast("double") - s for s in (1, 10, 100, 1000)]
         found = F.coalesce(*[F.when(x >= least, x) for x in options])
     else:
-        found = limit - 1
+        # Steps that the type can tell from the data; infinities are no values.
+        typed = (lambda x: x.cast("float").cast("double")) if dtype == "f32" else (lambda x: x)
+        options = [typed(limit - s) for s in (1.0, 10.0, 100.0, 1000.0, 1e4, 1e6, 1e9)]
+        found = F.coalesce(*[F.when((x < limit) & (x > F.lit(float("-inf"))), x) for x in options])
     return F.when(F.lit(float(no_data)) < limit, F.lit(float(no_data))).otherwise(found)
 
 

@@ -37,6 +37,8 @@ VIEWS = {
     "sizes_masked": "SELECT 0 AS band, (p_partkey // 50)::INT AS row, (p_partkey % 50)::INT AS col, 0 AS depth, CASE WHEN p_partkey % 7 <> 3 THEN p_size::DOUBLE END AS value FROM part",
     "nations": "SELECT 0 AS band, (c_custkey // 50)::INT AS row, (c_custkey % 50)::INT AS col, 0 AS depth, c_nationkey::DOUBLE AS value FROM customer",
     "layers": "SELECT 0 AS band, (p_partkey // 50)::INT AS row, (p_partkey % 50)::INT AS col, d AS depth, CASE WHEN d = 0 THEN p_size WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size + 1 END::DOUBLE AS value FROM part, (VALUES (0), (1)) v(d)",
+    "bytes": "SELECT 0 AS band, (o_orderkey // 100)::INT AS row, (o_orderkey % 100)::INT AS col, 0 AS depth, ((o_totalprice * 100)::BIGINT % 256)::DOUBLE AS value FROM orders",
+    "totals": "SELECT 0 AS band, (o_orderkey // 100)::INT AS row, (o_orderkey % 100)::INT AS col, 0 AS depth, ((o_totalprice * 100)::BIGINT % 65536)::DOUBLE AS value FROM orders",
     "vectors": "SELECT 0 AS band, vec_id::INT AS row, (generate_subscripts(embedding, 1) - 1)::INT AS col, 0 AS depth, unnest(embedding)::DOUBLE AS value FROM embeddings",
 }
 
@@ -81,6 +83,16 @@ def vectors(spark, d) -> DataFrame:
     return grid.from_table(rows, F.col("vec_id") * 64 + F.col("i"), 64, F.col("v"), "embeddings")
 
 
+def totals(spark, d) -> DataFrame:
+    """Cents, of which the lower bits are noise."""
+    cents = F.pmod((F.col("o_totalprice") * 100).cast("decimal(20,0)").cast("bigint"), F.lit(65536))
+    return grid.from_table(_t(spark, d, "orders"), F.col("o_orderkey"), 100, cents, "orders")
+
+
+def low_bytes(spark, d) -> DataFrame:
+    return totals(spark, d).withColumn("value", F.pmod("value", F.lit(256.0)))
+
+
 TILED = "SELECT *, row // {b} AS tile_row, col // {b} AS tile_col FROM px"
 
 
@@ -118,7 +130,8 @@ def packed_mask(spark, d):
 def unpacked_mask(spark, d):
     pixels = masked(spark, d)
     found = grid.from_packed_mask(grid.packed_mask(pixels, 100), 100)
-    return found.join(pixels.select("row", "col"), ["row", "col"]).select("row", "col", "valid")
+    size = grid.dimensions(pixels).select(*grid.KEY, "num_pixels")  # bits past the end are no places
+    return found.join(size, grid.KEY).where(F.col("row") * 100 + F.col("col") < F.col("num_pixels")).select("row", "col", "valid")
 
 
 @query("SELECT row, col, value FROM px WHERE value IS NOT NULL", "masked")
@@ -224,10 +237,13 @@ def quantize_lossy(spark, d):
     return rows.groupBy("tile_row", "tile_col").agg(F.min("low").alias("low"), F.max("q").alias("max_quant"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, true AS within FROM px WHERE value IS NOT NULL", "masked")
+@query(
+    f"SELECT row, col, round(least(low + floor((value - low) * 10.0::DOUBLE + 0.5) * 0.1::DOUBLE, high), 6) AS restored, abs(least(low + floor((value - low) * 10.0::DOUBLE + 0.5) * 0.1::DOUBLE, high) - value) <= 0.05 + 1e-12 AS within FROM (SELECT *, min(value) OVER t AS low, max(value) OVER t AS high FROM ({TILED.format(b=8)}) WINDOW t AS (PARTITION BY tile_row, tile_col)) WHERE value IS NOT NULL",
+    "masked",
+)
 def dequantize_error(spark, d):
-    rows = quantize.dequantize(masked(spark, d), 8, 0.05, "f64")
-    return rows.agg(F.count("*").alias("n"), (F.max(F.abs(F.col("restored") - F.col("value"))) <= 0.05 + 1e-12).alias("within"))
+    rows = quantize.dequantize(masked(spark, d), 8, 0.05, "f64").where("value IS NOT NULL")
+    return rows.select("row", "col", F.round("restored", 6).alias("restored"), (F.abs(F.col("restored") - F.col("value")) <= 0.05 + 1e-12).alias("within"))
 
 
 @query(f"SELECT row, col, (dense_rank() OVER (PARTITION BY tile_row, tile_col ORDER BY value) - 1)::INT AS index FROM ({TILED.format(b=8)})", "sizes")
@@ -283,9 +299,9 @@ def entropy_bytes(spark, d):
     return stats.sampled_entropy(rows, "pos", "value").select(F.col("bytes").cast("bigint").alias("bytes"))
 
 
-@query(f"SELECT (SELECT count(DISTINCT value) FROM px) AS bins, (SELECT count(DISTINCT delta) FROM ({DELTA})) AS delta_bins, false AS high_entropy", "sizes")
+@query(f"SELECT (SELECT count(DISTINCT value) FROM px) AS bins, (SELECT count(DISTINCT delta) FROM ({DELTA})) AS delta_bins, (SELECT count(*) >= 248 AND max(n) * 256 < 2 * sum(n) FROM (SELECT count(*) AS n FROM px GROUP BY value)) AND (SELECT count(DISTINCT delta) FROM ({DELTA})) >= 64 AS high_entropy", "bytes")
 def entropy_class(spark, d):
-    p = sizes(spark, d)
+    p = low_bytes(spark, d)
     return stats.high_entropy(stats.histogram(p, "value"), stats.histogram(predict.delta_predict(p), "delta")).select("bins", "delta_bins", "high_entropy")
 
 
@@ -297,14 +313,23 @@ def bitplane_counts(spark, d):
     return stats.bit_plane_counts(predict.xor_neighbours(nations(spark, d)), 5).select("bit", "ones", "n")
 
 
-@query(
-    f"SELECT CASE WHEN (SELECT count(value) FROM px) >= 5000 THEN coalesce(min(CASE WHEN abs(1 - 2 * ones / n) >= 0.01 THEN b END), 5) ELSE -1 END::INT AS cut FROM (SELECT b, sum((x >> b) & 1)::DOUBLE AS ones, count(*) AS n FROM ({XOR}), (VALUES (0), (1), (2), (3), (4)) bits(b) WHERE x IS NOT NULL GROUP BY b)",
-    "nations",
-)
+def _cut(bits: int, eps: float) -> str:
+    return f"SELECT CASE WHEN (SELECT count(value) FROM px) >= 5000 THEN coalesce(min(CASE WHEN abs(1 - 2 * ones / n) >= {eps} THEN b END), {bits}) ELSE -1 END::INT AS cut FROM (SELECT b, sum((x >> b) & 1)::DOUBLE AS ones, count(*) AS n FROM ({XOR}), range({bits}) bits(b) WHERE x IS NOT NULL GROUP BY b)"
+
+
+@query(_cut(5, 0.01), "nations")
 def bitplane_cut(spark, d):
     return planner.bit_plane_cut(nations(spark, d), 5).select("cut")
 
 
+@query(f"SELECT cut, greatest(0.5, CASE WHEN cut > 0 THEN 2.0 ** (cut - 1) ELSE 0 END)::DOUBLE AS tolerance FROM ({_cut(16, 0.05)})", "totals")
+def bitplane_tolerance(spark, d):
+    """The cut of noisy integers, and the tolerance in the header of the blob that is written with it."""
+    pixels = totals(spark, d)
+    info = raster.raster_info(raster.encode_pixels(pixels, "u16", bit_planes=0.05), strict=True)
+    return planner.bit_plane_cut(pixels, 16, 0.05).select("raster_id", "cut").join(info.select("raster_id", "tolerance"), "raster_id").select("cut", "tolerance")
+
+
 @query("SELECT row, col, (v - coalesce(lag(v) OVER (PARTITION BY row ORDER BY col), 0)) AS delta FROM (SELECT *, value::BIGINT AS v FROM px)", "sizes")
 def row_delta(spark, d):
     return predict.row_delta(sizes(spark, d)).select("row", "col", "delta")
@@ -370,11 +395,23 @@ def fletcher32(spark, d):
 
 
 # Planning.
-@query("SELECT band, 0.005::DOUBLE AS tolerance FROM px GROUP BY band HAVING max(abs(floor(value * 100 + 0.5) - value * 100)) < 1e-7 AND max(abs(floor(value * 20 + 0.5) - value * 20)) > 1e-3", "bands")
+def _raised(tolerance: float) -> str:
+    off = ", ".join(f"max(abs(floor(value * {f} + 0.5) - value * {f})) / {f} AS f{f}" for f in planner.FACTORS)
+    step = " ".join(f"WHEN f{f} <= {tolerance / 1e6!r} THEN {0.5 / f!r}::DOUBLE" for f in planner.FACTORS if 0.5 / f > tolerance)
+    return f"SELECT band, CASE {step} ELSE {tolerance!r}::DOUBLE END AS tolerance FROM (SELECT band, {off} FROM px GROUP BY band)"
+
+
+@query(_raised(0.001), "bands")
 def tolerance_raise(spark, d):
     return planner.raise_tolerance(bands(spark, d), 0.001).select("band", "tolerance")
 
 
+@query(_raised(0.001), "bands")
+def raised_header(spark, d):
+    """What the headers of blobs say that are written with a tolerance."""
+    return raster.raster_info(raster.encode_pixels(bands(spark, d), "f64", 0.001), strict=True).select("band", "tolerance")
+
+
 @query("SELECT bool_or(m > 0 AND m < 2) AS mixed, min(low) AS low, max(high) AS high FROM (SELECT row, col, count(*) FILTER (value = 0) AS m, min(CASE WHEN value <> 0 THEN value END) AS low, max(CASE WHEN value <> 0 THEN value END) AS high FROM px GROUP BY ALL)", "layers")
 def nodata_flag(spark, d):
     return stats.nodata_stats(layers(spark, d), 0.0).select("mixed", "low", "high")
@@ -396,6 +433,16 @@ def encode_plan(spark, d):
     return planner.encode_plan(bands(spark, d), 0.01, "f64").select("band", "valid", "version", "min_value", "max_value")
 
 
+@query(
+    f"""SELECT valid, 3 AS version, block, tile_bytes, huffman_bytes, CASE WHEN huffman_bytes < tile_bytes THEN 'delta Huffman' ELSE 'tiles' END AS mode
+FROM (SELECT count(value) AS valid FROM ({VIEWS["sizes_masked"]})),
+(SELECT CASE WHEN b16 < b8 THEN 16 ELSE 8 END AS block, least(b8, b16) AS tile_bytes FROM (WITH px AS ({VIEWS["sizes_masked"]}) {_costs(8, 0.5, "u8")} SELECT sum(bytes)::BIGINT AS b8 FROM costs), (WITH px AS ({VIEWS["sizes_masked"]}) {_costs(16, 0.5, "u8")} SELECT sum(bytes)::BIGINT AS b16 FROM costs)),
+(WITH px AS ({VIEWS["sizes_masked"]}) SELECT floor((-sum(n / t * log2(n / t)) * any_value(t) + 7) / 8)::BIGINT AS huffman_bytes FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM ({DELTA}) WHERE value IS NOT NULL GROUP BY delta))"""
+)
+def encode_plan_8_bit(spark, d):
+    return planner.encode_plan(sizes_masked(spark, d), 0.5, "u8").select("valid", "version", "block", "tile_bytes", "huffman_bytes", "mode")
+
+
 @query()
 def huffman_lengths(spark, d):
     """Code lengths of each band's values; the 256 counts of a band are one group."""
@@ -416,18 +463,18 @@ def huffman_lengths(spark, d):
     return h.groupBy("raster_id", "band").applyInArrow(one, "bin bigint, n bigint, bits bigint")
 
 
-@query("SELECT true AS within FROM (SELECT 1)")
+@query("SELECT round(-sum(n / t * log2(n / t)), 9) AS ideal, true AS complete, true AS within FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM px GROUP BY value)", "sizes")
 def huffman_cost(spark, d):
-    """Whether the code's bits per value are at least the entropy and less than one more."""
-    cost = huffman_lengths(spark, d).agg((F.sum(F.col("n") * F.col("bits")) / F.sum("n")).alias("cost"))
+    """Whether the code is complete (its Kraft sum is 1), and its bits per value at least the entropy and less than one more."""
+    bits = huffman_lengths(spark, d).agg((F.sum(F.col("n") * F.col("bits")) / F.sum("n")).alias("cost"), F.sum(F.pow(2.0, -F.col("bits"))).alias("kraft"))
     ideal = stats.entropy(stats.histogram(sizes(spark, d), "value")).agg(F.max("bits").alias("ideal"))
-    one = cost.withColumn("one", F.lit(1)).join(ideal.withColumn("one", F.lit(1)), "one")
-    return one.select(F.col("cost").between(F.col("ideal") - 1e-9, F.col("ideal") + 1).alias("within"))
+    one = bits.withColumn("one", F.lit(1)).join(ideal.withColumn("one", F.lit(1)), "one")
+    return one.select(F.round("ideal", 9).alias("ideal"), (F.col("kraft") == 1).alias("complete"), F.col("cost").between(F.col("ideal") - 1e-9, F.col("ideal") + 1).alias("within"))
 
 
 # Blobs: written and read again.
 def _again(pixels: DataFrame, dtype: str, tolerance: float | None = None, no_data: float | None = None) -> DataFrame:
-    return raster.decode_blobs(raster.encode_pixels(pixels, dtype, tolerance, no_data=no_data), strict=True)
+    return raster.decode_blobs(raster.encode_pixels(pixels, dtype, tolerance, no_data=no_data))
 
 
 @query("SELECT row, col, value FROM px", "sizes_masked")
@@ -450,13 +497,10 @@ def roundtrip_nodata(spark, d):
     return _again(layers(spark, d), "f64", no_data=0.0).select("row", "col", "depth", "value")
 
 
-@query("SELECT count(value) AS n, true AS within FROM px", "masked")
+@query("SELECT row, col, value IS NOT NULL AS valid, round(value, 2) AS value FROM px", "masked")
 def roundtrip_lossy(spark, d):
-    a = masked(spark, d)
-    b = _again(a, "f64", 0.01).select(*grid.PLACE, "depth", F.col("value").alias("got"))
-    j = a.join(b, [*grid.PLACE, "depth"])
-    same = F.bool_and(F.col("value").isNull() == F.col("got").isNull())
-    return j.agg(F.count("got").alias("n"), (same & (F.max(F.abs(F.col("got") - F.col("value"))) <= 0.01 + 1e-12)).alias("within"))
+    """A tolerance below half the values' grid, so that rounding gives them back."""
+    return _again(masked(spark, d), "f64", 0.004).select("row", "col", F.col("value").isNotNull().alias("valid"), F.round("value", 2).alias("value"))
 
 
 @query("SELECT 0 AS band, 3 AS version, 50 AS width, max(row) + 1 AS height, 1 AS depth, 1 AS bands, 'u8' AS dtype, count(value) AS valid_pixels, 0.5::DOUBLE AS tolerance, min(value) AS min_value, max(value) AS max_value FROM px", "sizes_masked")
@@ -468,3 +512,102 @@ def header_info(spark, d):
 @query("SELECT row, col, 7.5::DOUBLE AS value FROM px", "sizes")
 def roundtrip_const(spark, d):
     return _again(sizes(spark, d).withColumn("value", F.lit(7.5)), "f64").select("row", "col", "value")
+
+
+@query("SELECT band, row, col, value FROM px", "bands")
+def roundtrip_bands(spark, d):
+    """Bands of one raster; places of a last, short row that no pixel has come back invalid."""
+    return _again(bands(spark, d), "f64").where("value IS NOT NULL").select("band", "row", "col", "value")
+
+
+@query("SELECT row, col, depth, value FROM px", "layers")
+def roundtrip_depths(spark, d):
+    """Integers of two depths, the second as differences to the first."""
+    return _again(layers(spark, d), "i32").select("row", "col", "depth", "value")
+
+
+#: For each type: a factor and an offset of values from 1 to 50.
+SPREAD = {"i8": (5, -128), "u8": (5, 0), "i16": (1300, -32768), "u16": (1300, 0), "i32": (85_000_000, -(2**31)), "u32": (85_000_000, 0), "f32": (0.25, -3), "f64": (0.1, 1e9)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS dtype, row, col, (value * {a!r}::DOUBLE + {b!r}::DOUBLE) AS value FROM px" for t, (a, b) in SPREAD.items()), "sizes_masked")
+def roundtrip_types(spark, d):
+    """Each type without loss, next to the ends of its range."""
+    out = None
+    for t, (a, b) in SPREAD.items():
+        pixels = sizes_masked(spark, d).withColumn("value", F.col("value") * F.lit(float(a)) + F.lit(float(b)))
+        one = raster.decode_blobs(raster.encode_pixels(pixels, t), dtype=t).select(F.lit(t).alias("dtype"), "row", "col", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Blobs in forms that the writer does not make, laid out by hand.
+def laid_out(pixels: DataFrame, kind: str) -> DataFrame:
+    """(raster_id, blob); a raster is one group. kind: sweep, sweep_3 (version 3), version_2 or older."""
+    import numpy as np
+    import pyarrow as pa
+
+    def one(g: pa.Table) -> pa.Table:
+        from rastrum.codec import samples
+
+        r, c, v = (g.column(x) for x in ("row", "col", "value"))
+        shape = (max(r.to_pylist()) + 1, max(c.to_pylist()) + 1)
+        values, valid = np.zeros(shape), np.zeros(shape, bool)
+        values[r.to_numpy(), c.to_numpy()] = v.fill_null(0.0).to_numpy()
+        valid[r.to_numpy(), c.to_numpy()] = v.is_valid().to_numpy()
+        if kind == "older":
+            blob = samples.older(values.astype(np.float32), valid, 0.5)
+        else:
+            small = values.astype(np.uint8)[:, :, None]
+            blob = samples.version_2(small, valid) if kind == "version_2" else samples.one_sweep(small, valid, 3 if kind == "sweep_3" else 4)
+        return pa.table({"raster_id": [kind], "blob": pa.array([blob], pa.binary())})
+
+    return pixels.groupBy("raster_id").applyInArrow(one, "raster_id string, blob binary")
+
+
+KINDS = ("sweep", "sweep_3", "version_2", "older")
+
+
+def all_kinds(spark, d) -> DataFrame:
+    out = laid_out(sizes_masked(spark, d), KINDS[0])
+    for k in KINDS[1:]:
+        out = out.unionByName(laid_out(sizes_masked(spark, d), k))
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, row, col, value FROM px" for k in KINDS), "sizes_masked")
+def decode_kinds(spark, d):
+    """Blobs of one sweep, of version 2 and of the older format, with counts and values in tiles."""
+    return raster.decode_blobs(all_kinds(spark, d)).select(F.col("raster_id").alias("kind"), "row", "col", "value")
+
+
+@query(
+    "SELECT kind, v AS version, 50 AS width, (SELECT max(row) + 1 FROM px) AS height, 1 AS depth, 1 AS bands, t AS dtype, 0.5::DOUBLE AS tolerance, (SELECT max(value) FROM px) AS max_value FROM (VALUES ('sweep', 4, 'u8'), ('sweep_3', 3, 'u8'), ('version_2', 2, 'u8'), ('older', 1, 'f32')) k(kind, v, t)",
+    "sizes_masked",
+)
+def header_kinds(spark, d):
+    info = raster.raster_info(all_kinds(spark, d), strict=True)
+    return info.select(F.col("raster_id").alias("kind"), "version", "width", "height", "depth", "bands", "dtype", "tolerance", "max_value")
+
+
+@query(
+    f"""SELECT 'bands' AS name, band, 6 AS version, 5 AS bands, 1 AS depth, 'f64' AS dtype, count(value) AS valid_pixels, min(value) AS min_value, max(value) AS max_value FROM ({VIEWS["bands"]}) GROUP BY band
+UNION ALL SELECT 'depths', 0, 5, 1, 2, 'i32', count(*) // 2, min(value), max(value) FROM ({VIEWS["layers"]})
+UNION ALL SELECT 'no data', 0, 6, 1, 2, 'i32', count(*) // 2, (SELECT floor(min(value) - 1) - 1 FROM ({VIEWS["layers"]}) WHERE value <> 0), max(value) FROM ({VIEWS["layers"]})"""
+)
+def header_versions(spark, d):
+    """Versions as bands, depths and missing values need them."""
+    blobs = {"bands": raster.encode_pixels(bands(spark, d), "f64"), "depths": raster.encode_pixels(layers(spark, d), "i32"), "no data": raster.encode_pixels(layers(spark, d), "i32", no_data=0.0)}
+    infos = [raster.raster_info(b, strict=True).select(F.lit(n).alias("name"), "band", "version", "bands", "depth", "dtype", "valid_pixels", "min_value", "max_value") for n, b in blobs.items()]
+    return infos[0].unionByName(infos[1]).unionByName(infos[2])
+
+
+@query("SELECT 0 AS damaged_pixels, 2::BIGINT AS errors, count(*) AS good_pixels FROM px", "sizes")
+def damaged_blobs(spark, d):
+    """A null and a damaged blob between good ones, read permissively: no pixels of theirs, an error each."""
+    good = raster.encode_pixels(sizes(spark, d), "u8")
+    bad = good.select(F.explode(F.array(F.struct(F.lit("null").alias("raster_id"), F.lit(None).cast("binary").alias("blob")), F.struct(F.lit("cut").alias("raster_id"), F.expr("substring(blob, 1, 100)").alias("blob")))).alias("x")).select("x.*")
+    blobs = good.unionByName(bad)
+    pixels = raster.decode_blobs(blobs, strict=False).agg(F.count(F.when(F.col("raster_id") != "part", 1)).cast("int").alias("damaged_pixels"), F.count("*").alias("good_pixels"))
+    errors = raster.raster_info(blobs).agg(F.count("error").alias("errors"))
+    return pixels.withColumn("one", F.lit(1)).join(errors.withColumn("one", F.lit(1)), "one").drop("one")

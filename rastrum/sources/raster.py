@@ -6,7 +6,11 @@ a band are serial, so they run in Arrow workers; what is left, Spark does.
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -18,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from rastrum import codec
 from rastrum.codec import legacy
 from rastrum.functions.columns import NUMPY, TYPES, is_integer, normal_tolerance
+from rastrum.plans import planner
 
 INFO = (
     "raster_id string, band int, version int, width int, height int, depth int, bands int, dtype string, valid_pixels bigint, "
@@ -75,17 +80,22 @@ def band_batches(raster_id: str, band: int, values: np.ndarray, valid: np.ndarra
         )
 
 
-def decode_blobs(blobs: DataFrame, strict: bool = False) -> DataFrame:
-    """pixels of rows (raster_id, blob), a task's unit being a band."""
+def decode_blobs(blobs: DataFrame, strict: bool = True, dtype: str | None = None) -> DataFrame:
+    """pixels of rows (raster_id, blob), a task's unit being a band.
+
+    A damaged or null blob fails the job; with strict=False it gives no pixels, and raster_info() tells what is wrong.
+    dtype: the type that all blobs must have; another one fails the job in any case.
+    """
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                d = d or b""
                 try:
                     parts = [(0, len(d))] if codec.is_legacy(d) else codec.split_bands(d)
-                except ValueError:
+                except ValueError as e:
                     if strict:
-                        raise
+                        raise ValueError(f"{i}: {e}") from e
                     continue
                 out, mask = [], None
                 for k, (at, size) in enumerate(parts):
@@ -101,6 +111,7 @@ def decode_blobs(blobs: DataFrame, strict: bool = False) -> DataFrame:
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, k, d, before in zip(*[c.to_pylist() for c in b.columns]):
+                check_type(i, d, dtype)
                 try:
                     if codec.is_legacy(d):
                         values, valid = legacy.decode(d)
@@ -108,9 +119,9 @@ def decode_blobs(blobs: DataFrame, strict: bool = False) -> DataFrame:
                     else:
                         got = codec.decode_band(d, codec.decode_band(before).valid if before else None)
                         values, valid = got.values, got.valid
-                except ValueError:
+                except ValueError as e:
                     if strict:
-                        raise
+                        raise ValueError(f"{i}, band {k}: {e}") from e
                     continue
                 yield from band_batches(i, k, values, valid)
 
@@ -118,18 +129,39 @@ def decode_blobs(blobs: DataFrame, strict: bool = False) -> DataFrame:
     return bands.repartition("raster_id", "band").mapInArrow(decode, PIXELS)
 
 
+def check_type(raster_id: str, data: bytes, dtype: str | None) -> None:
+    own = "f32" if codec.is_legacy(data) else TYPES[codec.read_header(data).dtype][0]
+    if dtype is not None and own != dtype:
+        raise TypeError(f"{raster_id} holds {own}, not {dtype}")
+
+
 def _mask_at(h: codec.Header) -> int:
     from rastrum.codec.blob import SIZES
 
     return SIZES[h.version]
 
 
-def encode_pixels(pixels: DataFrame, dtype: str, tolerance: float | None = None, tolerances: DataFrame | None = None, no_data: float | None = None) -> DataFrame:
-    """(raster_id, blob) from pixels. tolerance None is lossless; tolerances: a tolerance for each (raster_id, band)."""
+def encode_pixels(
+    pixels: DataFrame, dtype: str, tolerance: float | None = None, tolerances: DataFrame | None = None, no_data: float | None = None,
+    bit_planes: float | None = None, raise_to_grid: bool = True, dense: bool = False,
+) -> DataFrame:
+    """(raster_id, blob) from pixels.
+
+    tolerance: None is lossless; a float's is raised, band by band, to half the step of the decimal grid that all values
+    lie on, unless raise_to_grid is False. tolerances: instead, one for each (raster_id, band). bit_planes: instead, for
+    integers, what drops the low bits that are noise within this share. dense: a place without a row is an error.
+    """
     error = (0.5 if is_integer(dtype) else 0.0) if tolerance is None else normal_tolerance(tolerance, dtype)
     kind = np.dtype(NUMPY[dtype])
     rows = pixels.select("raster_id", "band", "row", "col", "depth", "value")
-    rows = rows.join(tolerances.select("raster_id", "band", "tolerance"), ["raster_id", "band"]) if tolerances is not None else rows.withColumn("tolerance", F.lit(error))
+    if tolerances is None and bit_planes is not None and is_integer(dtype):
+        tolerances = planner.bit_plane_cut(rows, 8 * kind.itemsize, bit_planes)
+    elif tolerances is None and error > 0 and not is_integer(dtype) and raise_to_grid:
+        tolerances = planner.raise_tolerance(rows, error)
+    if tolerances is None:
+        rows = rows.withColumn("tolerance", F.lit(error))
+    else:
+        rows = rows.join(tolerances.select("raster_id", "band", "tolerance"), ["raster_id", "band"], "left").withColumn("tolerance", F.coalesce("tolerance", F.lit(error)))
     bands = pixels.groupBy("raster_id").agg(F.max("band").alias("last"))
     rows = rows.join(bands, "raster_id")
 
@@ -140,6 +172,8 @@ def encode_pixels(pixels: DataFrame, dtype: str, tolerance: float | None = None,
         # Places without a row, as at the end of a raster whose last row is short, are invalid.
         if len(np.unique(np.ravel_multi_index((r, c, d), shape))) != len(group):
             raise ValueError("a place has several rows")
+        if dense and len(group) != np.prod(shape):
+            raise ValueError(f"{np.prod(shape) - len(group)} places have no row")
         values, valid = np.zeros(shape), np.zeros(shape, bool)
         values[r, c, d] = v.fill_null(0.0).to_numpy()
         valid[r, c, d] = v.is_valid().to_numpy()
@@ -163,10 +197,15 @@ class _Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Files of a folder or a glob that driver and executors share; comparisons of value with a number prune bands."""
+    """Files of a folder or a glob that driver and executors share; comparisons of value with a number prune bands.
+
+    mode: failfast, for pixels the default, fails on a damaged blob; permissive gives no pixels of it, or a row with an
+    error. dtype: the type that all blobs must have.
+    """
 
     def __init__(self, options: dict, pixels: bool):
-        self.path, self.pixels, self.strict = options["path"], pixels, options.get("mode", "permissive").lower() == "failfast"
+        self.path, self.pixels, self.dtype = options["path"], pixels, options.get("dtype")
+        self.strict = options.get("mode", "failfast" if pixels else "permissive").lower() == "failfast"
         self.low, self.high = -float("inf"), float("inf")
 
     def pushFilters(self, filters):
@@ -180,7 +219,6 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         import glob
-        import os
 
         names = sorted(glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path))
         return [_Files(n) for n in names if os.path.isfile(n) and not os.path.basename(n).startswith(("_", "."))]
@@ -188,7 +226,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Files):
         with open(partition.path, "rb") as f:
             data = f.read()
-        name = partition.path.rsplit("/", 1)[-1]
+        name = unquote(partition.path.rsplit("/", 1)[-1])
         if not self.pixels:
             rows = info_rows(name, data)
             if self.strict and rows[0][-1]:
@@ -196,6 +234,7 @@ class _Reader(DataSourceReader):
             yield from rows
             return
         try:
+            check_type(name, data, self.dtype)
             if codec.is_legacy(data):
                 values, valid = legacy.decode(data)
                 yield from band_batches(name, 0, values[:, :, None], valid)
@@ -211,9 +250,9 @@ class _Reader(DataSourceReader):
                 got = codec.decode_band(data[at : at + size], before)
                 before = got.valid
                 yield from band_batches(name, k, got.values, got.valid)
-        except ValueError:
+        except ValueError as e:
             if self.strict:
-                raise
+                raise ValueError(f"{name}: {e}") from e
 
 
 class RasterInfoSource(DataSource):
@@ -231,24 +270,46 @@ class RasterInfoSource(DataSource):
 
 
 class _Written(WriterCommitMessage):
-    pass
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files  # where each lies, and its name
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    """One file a raster, named by its id with all but plain characters as %xx. Files appear when the whole job succeeds."""
 
-    def write(self, iterator):
-        import os
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
+        self.staging = os.path.join(self.path, f"_staging-{uuid.uuid4().hex}")
 
-        os.makedirs(self.path, exist_ok=True)
+    def write(self, iterator):
+        files, folder = [], os.path.join(self.staging, uuid.uuid4().hex)  # each attempt has its own
+        os.makedirs(folder)
         for row in iterator:
-            name = row["raster_id"].replace("/", "_")
-            part = os.path.join(self.path, f".{name}.{os.getpid()}")
-            with open(part, "wb") as f:
+            if row["raster_id"] is None or row["blob"] is None:
+                raise ValueError("a raster to write needs an id and a blob")
+            name = quote(row["raster_id"], safe="").replace(".", "%2E", row["raster_id"].startswith("."))
+            files.append((os.path.join(folder, name), name))
+            with open(files[-1][0], "xb") as f:
                 f.write(row["blob"])
-            os.replace(part, os.path.join(self.path, name))
-        return _Written()
+        return _Written(files)
+
+    def commit(self, messages):
+        files = [f for m in messages if m is not None for f in m.files]
+        names = [n for _, n in files]
+        taken = set(names) & set(os.listdir(self.path)) if not self.overwrite else set()
+        if len(set(names)) < len(names) or taken:
+            self.abort(messages)
+            raise ValueError(f"rasters of one id: {sorted(taken) or sorted(n for n in set(names) if names.count(n) > 1)}")
+        if self.overwrite:
+            for n in os.listdir(self.path):
+                if not n.startswith(("_", ".")) and os.path.isfile(os.path.join(self.path, n)):
+                    os.remove(os.path.join(self.path, n))
+        for at, n in files:
+            os.replace(at, os.path.join(self.path, n))
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages):
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class RasterSource(DataSource):
@@ -265,7 +326,7 @@ class RasterSource(DataSource):
         return _Reader(self.options, True)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

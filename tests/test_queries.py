@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("events", "part", "customer", "embeddings"):
+    for t in ("events", "part", "customer", "embeddings", "orders"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
