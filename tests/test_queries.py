@@ -40,7 +40,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "blobs" / "bad").write_bytes(b"Lerc2 " + b"\0" * 80)
     info = spark.read.format("raster_info").load(path)
     assert info.where("error IS NULL").count() == 5 and info.where("error IS NOT NULL").count() == 1
-    got = spark.read.format("raster").load(path)
+    with pytest.raises(Exception, match="version"):
+        spark.read.format("raster").load(path).collect()
+    got = spark.read.format("raster").option("mode", "permissive").load(path)
     a, b = (sorted(map(tuple, x.select("band", "row", "col", "value").collect()), key=str) for x in (got, pixels))
     n = pixels.where("value IS NOT NULL").count()
     assert [x for x in a if x[-1] is not None] == [x for x in b if x[-1] is not None] and len([x for x in a if x[-1] is not None]) == n
@@ -50,6 +52,59 @@ def test_sources(spark, tmp_path):
         spark.read.format("raster_info").option("mode", "failfast").load(path).collect()
 
 
+def test_writer(spark, tmp_path):
+    raster.register(spark)
+    path = tmp_path / "out"
+    path.mkdir()
+    blob = bytes(raster.encode_pixels(Q.sizes(spark, DATA), "u8").first()["blob"])
+
+    def write(rows, mode="append"):
+        spark.createDataFrame(rows, "raster_id string, blob binary").write.format("raster").mode(mode).save(str(path))
+
+    names = ["a/b", "a_b", ".hidden", "plain.blob", "é %"]
+    write([(n, blob) for n in names])
+    info = spark.read.format("raster_info").load(str(path))
+    assert sorted(r["raster_id"] for r in info.collect()) == sorted(names)
+    for bad in ([("x", blob), ("x", blob)], [("y", blob), ("z", None)], [("a/b", blob)]):  # repeated, null, and there already
+        with pytest.raises(Exception):
+            write(bad)
+        assert len(list(path.iterdir())) == len(names)
+    write([("new", blob)], "overwrite")
+    assert [f.name for f in path.iterdir()] == ["new"]
+    assert spark.read.format("raster").option("dtype", "u8").load(str(path)).count() == Q.sizes(spark, DATA).count()
+    with pytest.raises(Exception, match="not f32"):
+        spark.read.format("raster").option("dtype", "f32").load(str(path)).collect()
+
+
+def test_damaged_and_null_blobs(spark):
+    blobs = spark.createDataFrame([("null", None), ("junk", b"junk")], "raster_id string, blob binary")
+    for r in ("null", "junk"):
+        with pytest.raises(Exception, match=f"{r}: no magic"):
+            raster.decode_blobs(blobs.where(f"raster_id = '{r}'")).collect()
+    assert raster.decode_blobs(blobs, strict=False).count() == 0
+    assert raster.raster_info(blobs).where("error IS NOT NULL").count() == 2
+
+
+def test_dense(spark):
+    pixels = Q.sizes(spark, DATA)
+    assert raster.encode_pixels(pixels, "u8", dense=True).count() == 1
+    with pytest.raises(Exception, match="1 places have no row"):
+        raster.encode_pixels(pixels.where("NOT (row = 1 AND col = 1)"), "u8", dense=True).collect()
+
+
+def test_sentinel_of_large_floats(spark):
+    """Steps that the type cannot tell from the data are passed over."""
+    from pyspark.sql import functions as F
+
+    from rastrum.codec import blob
+    from rastrum.plans.planner import nodata_sentinel
+
+    for dtype, code in (("f32", 6), ("f64", 7)):
+        for low in (5.0, -3e7, 2.0**60 if dtype == "f64" else 1e6):
+            got = spark.range(1).select(nodata_sentinel(F.lit(low), 0.0, dtype, 1e30).alias("x")).first()["x"]
+            assert got < low and got == blob.no_data_sentinel(low, 0.0, code, 1e30)
+
+
 def test_stream(spark, tmp_path):
     from rastrum.streaming.ingest import stream_info
 
