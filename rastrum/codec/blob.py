@@ -7,17 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from rastrum.codec import huffman, planes
-from rastrum.codec.bits import BadBlob, fletcher32, read_block, rle, take, unrle, write_block
+from rastrum.codec import huffman, planes, tiling
+from rastrum.codec.bits import BadBlob, fletcher32, rle, take, unrle
+from rastrum.codec.tiling import DTYPES, to_type
 
 MAGIC = b"Lerc2 "
-#: By type code.
-DTYPES = ("int8", "uint8", "int16", "uint16", "int32", "uint32", "float32", "float64")
 SIZES = {2: 58, 3: 62, 4: 66, 5: 66, 6: 90}
-#: Smaller types of a tile's offset: (code, type) by type code, the smallest first.
-REDUCED = {2: ((2, 0), (1, 1)), 3: ((1, 1),), 4: ((3, 1), (2, 2), (1, 3)), 5: ((2, 1), (1, 3)), 6: ((2, 1), (1, 2)), 7: ((3, 2), (2, 4), (1, 6))}
 TILING, DELTA_HUFFMAN, PLAIN_HUFFMAN, FLOAT_PLANES = 0, 1, 2, 3
-RAW_TILE, STUFFED_TILE, ZERO_TILE, CONST_TILE = 0, 1, 2, 3
 MAX_BANDS = 1 << 16
 
 
@@ -120,14 +116,6 @@ def _flag_byte(h: Header) -> bool:
     return (h.dtype <= 1 and h.error == 0.5) or (h.dtype >= 6 and h.version >= 6 and h.error == 0)
 
 
-def to_type(x: np.ndarray, dtype: np.dtype) -> np.ndarray:
-    """float64 to a type as a saturating, truncating cast, NaN being 0 for integers."""
-    if dtype.kind == "f":
-        return x.astype(dtype)
-    i = np.iinfo(dtype)
-    return np.clip(np.trunc(np.nan_to_num(x, nan=0.0, posinf=float(i.max), neginf=float(i.min))), i.min, i.max).astype(dtype)
-
-
 def decode_band(data: bytes, before: np.ndarray | None = None) -> Band:
     """One band's blob; before: the mask of the band before, which a band may use again."""
     h = read_header(data)
@@ -187,7 +175,8 @@ def decode_band(data: bytes, before: np.ndarray | None = None) -> Band:
             out[:, d] = got.ravel()
         out[~valid] = 0
     elif mode == TILING:
-        _read_tiles(data, at, h, dtype, valid.reshape(h.rows, h.cols), out.reshape(h.rows, h.cols, h.depth), highs)
+        shape = (h.rows, h.cols, h.depth)
+        out = tiling.read_tiles(data, at, shape, h.dtype, h.error, h.version, h.block, valid.reshape(h.rows, h.cols), highs).reshape(n, h.depth)
     else:
         raise BadBlob(f"mode {mode}")
     return _remap(band())
@@ -221,134 +210,25 @@ def _undelta(deltas: np.ndarray, valid: np.ndarray) -> np.ndarray:
         d = deltas.reshape(rows, cols).copy()
         d[:, 0] = np.cumsum(d[:, 0])
         return np.cumsum(d, axis=1) & 255
-    out, last, it = np.zeros((rows, cols), np.int64), 0, iter(deltas.tolist())
-    ok = valid.tolist()
-    grid = out.tolist()
+    out, last, at = np.zeros((rows, cols), np.int64), 0, 0
     for r in range(rows):
-        row, above = ok[r], ok[r - 1] if r else None
-        for c in range(cols):
-            if row[c]:
-                if c and row[c - 1]:
-                    base = last
-                elif above is not None and above[c]:
-                    base = grid[r - 1][c]
-                else:
-                    base = last
-                last = grid[r][c] = (base + next(it)) & 255
-    return np.array(grid)
-
-
-def _tiles(rows: int, cols: int, block: int):
-    for r in range(0, rows, block):
-        for c in range(0, cols, block):
-            yield slice(r, min(rows, r + block)), slice(c, min(cols, c + block)), c
-
-
-def _read_tiles(data: bytes, at: int, h: Header, dtype: np.dtype, valid: np.ndarray, out: np.ndarray, highs: np.ndarray) -> None:
-    if h.block <= 0:
-        raise BadBlob("block size")
-    pattern = 14 if h.version >= 5 else 15
-    for rs, cs, c0 in _tiles(h.rows, h.cols, h.block):
-        ok = valid[rs, cs]
-        for d in range(h.depth):
-            flag = take(data, at, 1)[0]
-            at += 1
-            diff = h.version >= 5 and bool(flag & 4)
-            if (flag >> 2) & pattern != ((c0 & 255) >> 3) & pattern or diff and d == 0:
-                raise BadBlob("tile")
-            mode, code = flag & 3, flag >> 6
-            prev = out[rs, cs, d - 1][ok].astype(np.float64) if diff else 0.0
-            if mode == ZERO_TILE:
-                got = np.zeros(int(ok.sum())) + prev
-            elif mode == RAW_TILE:
-                if diff:
-                    raise BadBlob("raw tile with differences")
-                k = int(ok.sum())
-                got = np.frombuffer(take(data, at, k * dtype.itemsize), dtype.newbyteorder("<"))
-                at += k * dtype.itemsize
-                out[rs, cs, d][ok] = got
-                continue
-            else:
-                base = 4 if diff and h.dtype < 6 else h.dtype
-                kind = dict(REDUCED.get(base, ())).get(code, base if code == 0 or base <= 1 else None)
-                if kind is None:
-                    raise BadBlob("reduced type")
-                t = np.dtype(DTYPES[kind]).newbyteorder("<")
-                offset = float(np.frombuffer(take(data, at, t.itemsize), t)[0])
-                at += t.itemsize
-                if mode == CONST_TILE:
-                    got = np.minimum(offset + prev, highs[d]) if diff else np.full(int(ok.sum()), offset)
-                else:
-                    q, at = read_block(data, at, ok.size, h.version)
-                    q = q[: int(ok.sum())] if len(q) == int(ok.sum()) else q[ok.ravel()] if len(q) == ok.size else None
-                    if q is None:
-                        raise BadBlob("tile size")
-                    got = np.minimum(offset + q * (2 * h.error) + prev, highs[d])
-            tile = out[rs, cs, d]
-            tile[ok] = to_type(np.asarray(got, np.float64), dtype)
-            out[rs, cs, d] = tile
-
-
-def _reduce(x: float, dtype: int) -> tuple[int, int]:
-    """(code, type) of the smallest type that holds an offset."""
-    for code, kind in REDUCED.get(dtype, ()):
-        t = np.dtype(DTYPES[kind])
-        if t.kind == "f":
-            with np.errstate(over="ignore"):
-                if float(np.float32(x)) == x:
-                    return code, kind
-        elif x == np.floor(x) and np.iinfo(t).min <= x <= np.iinfo(t).max:
-            return code, kind
-    return 0, dtype
-
-
-def _tile(values: np.ndarray, h: Header, dtype: int, integrity: int, raw: bytes | None, diff: bool) -> bytes:
-    """The smallest form of one tile's valid values; raw: what they are as they stand, if that is allowed."""
-    flag = integrity | (4 if diff else 0)
-    low, high = float(values.min()), float(values.max())
-    if low == 0 and high == 0:
-        return bytes([flag | ZERO_TILE])
-    code, kind = _reduce(low, dtype)
-    offset = np.array(low).astype(DTYPES[kind]).astype(np.dtype(DTYPES[kind]).newbyteorder("<")).tobytes()
-    most = (1 << 15) - 1 if h.dtype < 4 else (1 << 30) - 1
-    top = (high - low) / (2 * h.error) if h.error else np.inf
-    if low == high or int(min(top, 2.0**62) + 0.5) == 0:
-        return bytes([flag | CONST_TILE | code << 6]) + offset
-    best = None
-    if top <= most:
-        if h.error == 0.5 and h.dtype < 6:
-            q = (values - low).astype(np.uint32)
-        else:
-            q = np.floor((values - low) * (1 / (2 * h.error)) + 0.5).astype(np.uint32)
-        best = bytes([flag | STUFFED_TILE | code << 6]) + offset + write_block(q)
-    if raw is not None and (best is None or len(best) >= len(raw) + 1):
-        return bytes([integrity | RAW_TILE]) + raw
-    if best is None:
-        raise BadBlob("tile range")
-    return best
-
-
-def _write_tiles(values: np.ndarray, valid: np.ndarray, h: Header) -> bytes:
-    out, dtype = [], np.dtype(DTYPES[h.dtype])
-    pattern = 14 if h.version >= 5 else 15
-    exact = h.dtype < 6 and h.error == 0.5
-    for rs, cs, c0 in _tiles(h.rows, h.cols, h.block):
-        ok, integrity = valid[rs, cs], (((c0 & 255) >> 3) & pattern) << 2
-        for d in range(h.depth):
-            v = values[rs, cs, d][ok]
-            if not len(v):
-                out.append(bytes([integrity | ZERO_TILE]))
-                continue
-            raw = v.astype(dtype.newbyteorder("<")).tobytes()
-            best = _tile(v.astype(np.float64), h, h.dtype, integrity, raw, False)
-            # Differences to the depth before only where that is exact, so errors never add up.
-            if d and exact and h.version >= 5:
-                step = v.astype(np.float64) - values[rs, cs, d - 1][ok].astype(np.float64)
-                if step.min() >= -(2**31) and step.max() < 2**31 and (step.max() - step.min()) <= ((1 << 15) - 1 if h.dtype < 4 else (1 << 30) - 1):
-                    other = _tile(step, h, 4, integrity, None, True)
-                    best = other if len(other) < len(best) else best
-            out.append(best)
-    return b"".join(out)
+        ok = valid[r]
+        places = np.flatnonzero(ok)
+        if not len(places):
+            continue
+        sums = np.cumsum(deltas[at : at + len(places)])
+        at += len(places)
+        # Runs of valid places: the first of each counts from the place above or else from the last valid one.
+        first = np.flatnonzero(np.r_[True, np.diff(places) > 1])
+        ends = np.r_[first[1:], len(places)] - 1
+        above = np.where(valid[r - 1, places[first]], out[r - 1, places[first]], -1).tolist() if r else [-1] * len(first)
+        before = np.r_[0, sums[ends[:-1]]].tolist()
+        shift = []
+        for base, begun, end in zip(above, before, sums[ends].tolist()):
+            shift.append((last if base < 0 else base) - begun)
+            last = (end + shift[-1]) & 255
+        out[r, places] = (sums + np.repeat(shift, ends - first + 1)) & 255
+    return out
 
 
 def no_data_sentinel(low: float, error: float, dtype: int, no_data: float) -> float:
@@ -416,11 +296,10 @@ def _payload(values: np.ndarray, valid: np.ndarray, h: Header) -> bytes:
     if h.dtype >= 6 and h.error == 0:
         filled = np.where(valid[:, :, None], values, values.dtype.type(0))
         return bytes([FLOAT_PLANES]) + b"".join(planes.encode_slice(np.ascontiguousarray(filled[:, :, d])) for d in range(h.depth))
-    sizes = []
-    for block in (8, 16):
-        h.block = block
-        sizes.append((_write_tiles(values, valid, h), block))
-    best, h.block = min(sizes, key=lambda x: len(x[0]))
+    tiles = lambda block, measure=False: tiling.write_tiles(values, valid, h.dtype, h.error, h.version, block, measure)
+    best, h.block = tiles(8), 8
+    if tiles(16, True) < len(best):
+        best, h.block = tiles(16), 16
     if not _flag_byte(h):
         return best
     best = bytes([TILING]) + best

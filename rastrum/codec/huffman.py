@@ -122,20 +122,36 @@ def decode(data: bytes, at: int, n: int, version: int) -> tuple[np.ndarray, int]
     by_code = {(int(lengths[s]), int(codes[s])): int(s) for s in np.flatnonzero(lengths)}
     out, pos = [], 0
     if longest <= WINDOW:
-        symbol, size = np.full(1 << longest, -1, np.int64), np.zeros(1 << longest, np.int64)
+        symbol, size = np.full(1 << longest, -1, np.int64), np.zeros(1 << longest, np.int32)
         for (k, c), s in by_code.items():
             symbol[c << (longest - k) : (c + 1) << (longest - k)] = s
             size[c << (longest - k) : (c + 1) << (longest - k)] = k
-        window = np.zeros(len(bits) - longest + 1, np.int64)
-        for i in range(longest):
-            window = window * 2 + bits[i : i + len(window)]
-        steps, places, end = size[window].tolist(), [], len(bits) - 64
-        for _ in range(n):
-            if pos >= end and pos > 0 or not steps[pos]:
-                raise BadBlob("Huffman data")
-            places.append(pos)
-            pos += steps[pos]
-        return symbol[window[places]] if places else np.zeros(0, np.int64), at + (pos + 31) // 32 * 4 + 4
+        if not n:
+            return np.zeros(0, np.int64), at + 4
+        # The next `longest` bits at every place, from the 32 bits that begin at each byte.
+        four = np.packbits(bits).astype(np.uint32)
+        four = np.r_[four, np.zeros(3, np.uint32)]
+        four = four[:-3] << np.uint32(24) | four[1:-2] << np.uint32(16) | four[2:-1] << np.uint32(8) | four[3:]
+        window = ((four[:, None] >> (32 - longest - np.arange(8, dtype=np.uint32))) & np.uint32((1 << longest) - 1)).ravel()
+        # Where the next symbol begins, and the one after 2, 4 and 8 of them; a walk by eights, then all between.
+        after = np.minimum(np.arange(len(window), dtype=np.int32) + size[window], len(window) - 1)
+        by2 = after[after]
+        by8 = by2[by2]
+        by8 = memoryview(by8[by8])
+        eighth, pos = [], 0
+        for _ in range((n + 7) // 8):
+            eighth.append(pos)
+            pos = by8[pos]
+        places = np.empty((len(eighth), 8), np.int64)
+        places[:, 0] = eighth
+        for k in range(1, 8):
+            places[:, k] = after[places[:, k - 1]]
+        places = places.ravel()[:n]
+        taken = size[window[places]]
+        end = int(places[-1] + taken[-1])
+        if not taken.all() or end > len(bits) - 64:
+            raise BadBlob("Huffman data")
+        return symbol[window[places]], at + (end + 31) // 32 * 4 + 4
     stream = bits.tolist()
     for _ in range(n):
         code = k = 0

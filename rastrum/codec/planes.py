@@ -135,12 +135,15 @@ def compress(plane: np.ndarray) -> bytes:
     if len(data) and data.count(data[:1]) == len(data):
         return bytes([CONSTANT, data[0]]) + struct.pack("<I", len(data))
     best = bytes([RAW]) + data
-    packed = bytes([PACKED]) + _packbits(data)
-    best = packed if len(packed) < len(best) else best
     if entropy_bytes(plane) + 1 < len(best):
         coded = huffman.encode(plane.astype(np.int64))
         if coded is not None and len(coded) + 1 < len(best):
             best = bytes([HUFFMAN]) + coded
+    # Runs of three and more take two bytes each, at least; other bytes are literals.
+    runs = np.diff(np.flatnonzero(np.r_[True, plane[1:] != plane[:-1], True]))
+    if 1 + runs[runs < 3].sum() + 2 * (-(-runs[runs >= 3] // 129)).sum() <= len(best):
+        packed = bytes([PACKED]) + _packbits(data)
+        best = packed if len(packed) < len(data) + 1 and len(packed) <= len(best) else best
     return best
 
 

@@ -8,7 +8,8 @@ import numpy as np
 
 from rastrum.codec import legacy
 from rastrum.codec.bits import bit_length, fletcher32, rle
-from rastrum.codec.blob import DTYPES, SIZES, STUFFED_TILE, TILING, ZERO_TILE, Header, write_header
+from rastrum.codec.blob import DTYPES, SIZES, TILING, Header, write_header
+from rastrum.codec.tiling import STUFFED_TILE, ZERO_TILE
 
 
 def pack_high_first(values: np.ndarray, bits: int) -> bytes:
