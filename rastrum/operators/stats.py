@@ -47,10 +47,9 @@ def histogram(rows: DataFrame, column: str, keys: list[str] | None = None) -> Da
 
 def entropy(hist: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """bits: per symbol; bytes: of all symbols, as an ideal coder would need."""
-    keys = keys if keys is not None else KEY
-    total = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    out = hist.join(total, keys).groupBy(*keys).agg((-F.sum(share * F.log2(share))).alias("bits"), F.first("total").alias("total"))
+    total, n = F.sum("n"), F.col("n")
+    bits = F.log2(total) - F.sum(n * F.log2(n)) / total  # -sum(n / total * log2(n / total)), in one aggregate
+    out = hist.groupBy(*(keys if keys is not None else KEY)).agg(bits.alias("bits"), total.alias("total"))
     return out.withColumn("bytes", F.floor((F.col("bits") * F.col("total") + 7) / 8))
 
 
@@ -77,8 +76,9 @@ def bit_plane_counts(diffs: DataFrame, bits: int, column: str = "diff") -> DataF
 
 def fletcher32(words: DataFrame, keys: list[str], n: Column | None = None) -> DataFrame:
     """Checksums of sequences of 16-bit words: `i` from 0 and `w`; the length is the number of rows."""
-    count = words.groupBy(*keys).agg(F.count("*").alias("_n"))
-    fold = lambda x: F.when(x % 65535 == 0, 65535).otherwise(x % 65535)
-    rows = words.join(count, keys)
-    per = rows.groupBy(*keys).agg(F.sum("w").alias("_a"), F.sum(((F.col("_n") - F.col("i")) % 65535) * F.col("w")).alias("_b"))
-    return per.select(*keys, (fold(F.col("_b")) * 65536 + fold(F.col("_a"))).cast("bigint").alias("checksum"))
+    fold = lambda x: F.when(F.pmod(x, m) == 0, m).otherwise(F.pmod(x, m))
+    m, w = F.lit(65535).cast("bigint"), F.col("w").cast("bigint")
+    # A word counts as often as there are words from it on: n - i times, which is one aggregate and no second pass for n.
+    per = words.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(w).alias("a"), F.sum(F.pmod(F.col("i").cast("bigint"), m) * w).alias("b"))
+    b = F.pmod(F.col("n"), m) * F.pmod(F.col("a"), m) - F.pmod(F.col("b"), m)
+    return per.select(*keys, (fold(b) * 65536 + fold(F.col("a"))).cast("bigint").alias("checksum"))
