@@ -1,7 +1,7 @@
 """Neighbour and depth predictors; windows run within a row, a column, a tile or a place, never over a whole raster.
 
-The masked 8-bit predictor falls back on the last valid value in scan order: its window runs over one depth of a band,
-which is the grain at which blobs are coded too.
+The masked 8-bit predictor falls back on the last valid value in scan order: within a row by a window, and from the rows
+before by one value for each row.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ def _column() -> WindowSpec:
     return Window.partitionBy(*KEY, "depth", "col").orderBy("row")
 
 
-def _scan() -> WindowSpec:
-    return Window.partitionBy(*KEY, "depth").orderBy("row", "col").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def delta_predict(pixels: DataFrame) -> DataFrame:
     """delta, modulo 256, to the left neighbour, else the upper one, else the last valid value, else 0."""
-    base = F.coalesce(F.lag("value").over(_row()), F.lag("value").over(_column()), F.last("value", ignorenulls=True).over(_scan()), F.lit(0.0))
-    return pixels.withColumn("delta", wrap8((F.col("value") - base).cast("bigint")))
+    row = [*KEY, "depth", "row"]
+    last = pixels.groupBy(*row).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("col"))).alias("last"))
+    earlier = Window.partitionBy(*KEY, "depth").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*row, F.last("last", ignorenulls=True).over(earlier).alias("_carried"))
+    rows = pixels.withColumn("_above", F.lag("value").over(_column())).join(carried, row)
+    before = F.last("value", ignorenulls=True).over(_row().rowsBetween(Window.unboundedPreceding, -1))
+    base = F.coalesce(F.lag("value").over(_row()), F.col("_above"), before, F.col("_carried"), F.lit(0.0))
+    return rows.withColumn("delta", wrap8((F.col("value") - base).cast("bigint"))).select(*pixels.columns, "delta")
 
 
 def row_delta(pixels: DataFrame, column: str = "value") -> DataFrame:

@@ -31,12 +31,9 @@ def tile_quants(pixels: DataFrame, block: int, tolerance: float, dtype: str) ->
 
 def tile_costs(pixels: DataFrame, block: int, tolerance: float, dtype: str) -> DataFrame:
     """n, low, high, mode (zero, const, raw, stuffed) and bytes of every tile; tiles without valid places are zero."""
-    tiled = assign_tiles(pixels, block)
-    # The tile's range first, then distinct levels: two aggregates on one partitioning.
-    stats = tiled.groupBy(*TILE).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
-    rows = tiled.where("value IS NOT NULL").join(stats.drop("n", "high"), TILE)
-    known = rows.groupBy(*TILE).agg(F.count_distinct(levels(F.col("value"), F.col("low"), tolerance, dtype)).alias("distinct"))
-    t = stats.join(known, TILE, "left")
+    # One aggregate: a tile has block * block values at most, so the distinct ones are a small array.
+    t = assign_tiles(pixels, block).groupBy(*TILE).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"), F.collect_set("value").alias("known"))
+    t = t.withColumn("distinct", F.size(F.array_distinct(F.transform("known", lambda v: levels(v, F.col("low"), tolerance, dtype)))))
     top = levels(F.col("high"), F.col("low"), tolerance, dtype)
     width = C.TYPES[C.CODE[dtype]][1]
     raw = 1 + F.col("n") * width

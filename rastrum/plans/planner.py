@@ -71,10 +71,14 @@ def encode_plan(pixels: DataFrame, tolerance: float, dtype: str) -> DataFrame:
     """One row per band: range, valid places, version, tile size and the way of encoding, with its cost where known."""
     tolerance = C.normal_tolerance(tolerance, dtype)
     floats = not C.is_integer(dtype)
-    base = stats.band_stats(pixels)
-    depth = stats.depth_stats(pixels).groupBy(*KEY).agg(F.count("*").alias("depths"), F.bool_and(F.col("min_value") == F.col("max_value")).alias("flat"))
-    bands = pixels.groupBy("raster_id").agg(F.count_distinct("band").alias("bands"))
-    plan = base.join(depth, KEY).join(bands, "raster_id")
+    # One aggregate over pixels, by depth; what follows it are a few rows for each band.
+    v = stats.number()
+    per = pixels.groupBy(*KEY, "depth").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count("value").alias("valid"))
+    base = per.groupBy(*KEY).agg(
+        F.coalesce(F.min("low"), F.lit(0.0)).alias("min_value"), F.coalesce(F.max("high"), F.lit(0.0)).alias("max_value"), F.sum("valid").alias("valid"),
+        F.count("*").alias("depths"), F.bool_and(F.coalesce(F.col("low") == F.col("high"), F.lit(True))).alias("flat"),
+    )
+    plan = base.join(base.groupBy("raster_id").agg(F.count("*").alias("bands")), "raster_id")
     version = C.blob_version(F.col("depths"), F.col("bands"), F.lit(False), F.lit(floats and tolerance == 0))
     plan = plan.withColumn("version", version).withColumn("tolerance", F.lit(tolerance))
     if floats and tolerance == 0:
@@ -90,4 +94,4 @@ def encode_plan(pixels: DataFrame, tolerance: float, dtype: str) -> DataFrame:
         mode = mode.when(F.col("huffman_bytes") < F.col("tile_bytes"), "delta Huffman")
     else:
         plan = plan.withColumn("huffman_bytes", F.lit(None).cast("bigint"))
-    return plan.join(sizes, KEY).withColumn("mode", mode.otherwise("tiles")).drop("flat", "places")
+    return plan.join(sizes, KEY).withColumn("mode", mode.otherwise("tiles")).drop("flat")
