@@ -13,8 +13,8 @@ from rastrum.codec.bits import BadBlob, take
 NONE, ROWS, ROWS_COLUMNS = 0, 1, 2
 HUFFMAN, CONSTANT, RAW, PACKED = 0, 1, 2, 3
 MAX_LEVEL = 5
-#: Bytes of a plane on which levels and predictors are tried.
-SNIPPET = 8192
+#: Bytes of a plane on which levels and predictors are tried, and the evenly spaced blocks that they are taken in.
+SNIPPET, BLOCKS = 8192, 4
 
 
 def _fields(bits: np.ndarray, op) -> np.ndarray:
@@ -167,17 +167,26 @@ def _planes(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bits.reshape(-1, 1).view(np.uint8).T)
 
 
+def sample_blocks(n: int, unit: int = 1) -> list[slice]:
+    """Evenly spaced blocks of about SNIPPET units among n * unit, in whole multiples of unit; everything if that is little more."""
+    each = max(1, math.ceil(SNIPPET / BLOCKS / max(1, unit)))
+    if n <= BLOCKS * each:
+        return [slice(0, n)]
+    return [slice(at, at + each) for at in (round(k * (n - each) / (BLOCKS - 1)) for k in range(BLOCKS))]
+
+
 def encode_slice(values: np.ndarray) -> bytes:
     """One depth, (rows, columns) of float32 or float64."""
     bits = to_bits(np.ascontiguousarray(values))
-    rows = max(1, min(bits.shape[0], math.ceil(SNIPPET / max(1, bits.shape[1]))))
-    mid = (bits.shape[0] - rows) // 2
-    tried = [(sum(entropy_bytes(p) for p in _planes(np.ascontiguousarray(predict(bits[mid : mid + rows], k)))), k) for k in (NONE, ROWS, ROWS_COLUMNS)]
-    predictor = min(tried)[1]
+    rows = sample_blocks(bits.shape[0], bits.shape[1])
+    cost = lambda k: sum(entropy_bytes(p) for s in rows for p in _planes(np.ascontiguousarray(predict(bits[s], k))))
+    predictor = min((cost(k), k) for k in (NONE, ROWS, ROWS_COLUMNS))[1]
     out = [bytes([predictor])]
     for i, plane in enumerate(_planes(np.ascontiguousarray(predict(bits, predictor)))):
-        level, size = 0, entropy_bytes(plane[:SNIPPET])
-        while level < MAX_LEVEL - predictor and (less := entropy_bytes(level_delta(plane[:SNIPPET], level + 1))) < size:
+        some = sample_blocks(len(plane))
+        tried = lambda k: sum(entropy_bytes(level_delta(plane[s], k)) for s in some)
+        level, size = 0, tried(0)
+        while level < MAX_LEVEL - predictor and (less := tried(level + 1)) < size:
             level, size = level + 1, less
         coded = compress(level_delta(plane, level))
         out.append(struct.pack("<BBI", i, level, len(coded)) + coded)

@@ -160,3 +160,42 @@ def test_rare_symbols_have_long_codes():
     codes = huffman.canonical(lengths)
     data = huffman.write_table(lengths, codes) + huffman._high_first(codes[np.arange(24)], lengths[np.arange(24)]) + b"\0" * 4
     assert huffman.decode(data, 0, 24, 6)[0].tolist() == list(range(24))
+
+
+def test_sample_blocks():
+    """Evenly spaced, from the first to the last, and never past the end."""
+    for n, unit in ((1, 1), (5, 400), (8192, 1), (8193, 1), (100_000, 1), (512, 512), (3, 100_000)):
+        blocks = planes.sample_blocks(n, unit)
+        assert blocks[0].start == 0 and blocks[-1].stop == n and all(0 <= s.start < s.stop <= n for s in blocks)
+        gaps = [b.start - a.start for a, b in zip(blocks, blocks[1:])]
+        assert not gaps or max(gaps) - min(gaps) <= 1
+
+
+def test_predictor_is_told_from_all_parts():
+    """A band that is noise in its middle and smooth elsewhere is predicted all the same."""
+    r, c = np.mgrid[0:400, 0:300]
+    v = (r * 1.0 + c * 0.5).astype(np.float32)
+    v[180:220] = np.random.default_rng(1).normal(0, 1e3, (40, 300))
+    data = planes.encode_slice(v)
+    assert data[0] != planes.NONE and (planes.decode_slice(data, 0, v.shape, False)[0] == v).all()
+
+
+@pytest.mark.parametrize("make", ["one_sweep", "version_2", "older"])
+@pytest.mark.parametrize("share", [1.0, 0.7])
+def test_forms_laid_out_by_hand(make, share):
+    from rastrum.codec import samples
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 60, (21, 37)).astype(np.uint8)
+    v[:8, :8] = 0
+    m = rng.random(v.shape) < share
+    m[8:16, 8:16] = share == 1.0  # a tile without a valid place
+    if make == "older":
+        values, valid = legacy.decode(samples.older(v.astype(np.float32), m, 0.5))
+        assert (valid == m).all() and (values[m] == v[m]).all()
+        return
+    for version in (3, 4, 5, 6) if make == "one_sweep" else (2,):
+        for deep in (v[:, :, None], np.stack([v, v + 3], 2)) if version > 3 else (v[:, :, None],):
+            data = samples.one_sweep(deep, m, version) if make == "one_sweep" else samples.version_2(deep, m)
+            got = codec.decode(data)[0]
+            assert got.header.version == version and (got.valid == m).all() and (got.values[m] == deep[m]).all()
