@@ -611,3 +611,33 @@ def damaged_blobs(spark, d):
     pixels = raster.decode_blobs(blobs, strict=False).agg(F.count(F.when(F.col("raster_id") != "part", 1)).cast("int").alias("damaged_pixels"), F.count("*").alias("good_pixels"))
     errors = raster.raster_info(blobs).agg(F.count("error").alias("errors"))
     return pixels.withColumn("one", F.lit(1)).join(errors.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+# Rules of the format.
+@query("SELECT v AS version, CASE v WHEN 2 THEN 58 WHEN 3 THEN 62 WHEN 6 THEN 90 ELSE 66 END AS size FROM range(2, 7) t(v)")
+def header_sizes(spark, d):
+    return spark.range(2, 7).select(F.col("id").alias("version"), C.header_size(F.col("id")).alias("size"))
+
+
+@query("SELECT code, ['i8', 'u8', 'i16', 'u16', 'i32', 'u32', 'f32', 'f64'][code + 1] AS dtype FROM range(8) t(code)")
+def dtype_codes(spark, d):
+    return spark.range(8).select(F.col("id").alias("code"), C.dtype_of(F.col("id").cast("int")).alias("dtype"))
+
+
+@query(
+    "SELECT depth, bands, n AS no_data, f AS float_lossless, CASE WHEN n OR f OR bands > 1 THEN 6 WHEN depth > 1 THEN 5 ELSE 3 END AS version FROM range(1, 4) a(depth), range(1, 4) b(bands), (VALUES (true), (false)) c(n), (VALUES (true), (false)) e(f)"
+)
+def version_choice(spark, d):
+    cases = spark.range(36).select(
+        (F.col("id") % 3 + 1).alias("depth"), (F.floor(F.col("id") / 3) % 3 + 1).alias("bands"), (F.floor(F.col("id") / 9) % 2 == 1).alias("no_data"), (F.floor(F.col("id") / 18) % 2 == 1).alias("float_lossless")
+    )
+    return cases.withColumn("version", C.blob_version(F.col("depth"), F.col("bands"), F.col("no_data"), F.col("float_lossless")))
+
+
+ASKED = (0.0, 0.01, 0.4, 0.5, 0.9, 1.0, 2.7)
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS dtype, {a!r}::DOUBLE AS asked, greatest(0.5, floor({a!r}))::DOUBLE AS tolerance" if C.is_integer(t) else f"SELECT '{t}', {a!r}::DOUBLE, {a!r}::DOUBLE" for t, *_ in C.TYPES for a in ASKED))
+def tolerance_rules(spark, d):
+    """The tolerance that headers hold for what is asked for: integers at least 0.5 and whole above."""
+    return spark.createDataFrame([(t, a, C.normal_tolerance(a, t)) for t, *_ in C.TYPES for a in ASKED], "dtype string, asked double, tolerance double")
