@@ -232,3 +232,13 @@ def test_pipeline_on_odd_rows(spark, odd_docs):
         docs = f(spark, docs, "").cache()
         counts.append(docs.count())
     assert counts[0] == 8 and counts[2] <= counts[1] <= counts[0] and docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rastrum.llm.common import shared_folder
+
+    lone = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(lone)
