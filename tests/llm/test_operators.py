@@ -345,6 +345,9 @@ def test_line_dedup(docs_of, monkeypatch, width):
         monkeypatch.setattr(line_dedup, "FREQUENT", 0)
     if width == 4:
         monkeypatch.setattr(line_dedup, "LISTED", 50)
+    if width == 2:  # few neighbours at first, and no pairs after
+        monkeypatch.setattr(line_dedup, "BEFORE", (1,))
+        monkeypatch.setattr(line_dedup, "LARGE", 4)
     docs = line_docs(width)
     got = {(x.doc_id, k) for x in line_dedup.removed_lines(docs_of(docs), width=width).collect() for k in x.removed}
     want = plain_removed(docs)
