@@ -361,6 +361,35 @@ def test_line_dedup_of_one_changed_word(docs_of):
     assert [(r.doc_id, r.removed) for r in got] == [(2, [0])]  # 13 of 15 words, 0.87
 
 
+def test_line_dedup_with_words_counted_in_a_sample(docs_of, monkeypatch):
+    """The order of tokens decides what is compared, not what goes."""
+    monkeypatch.setattr(line_dedup, "ENOUGH", 0)
+    docs = line_docs(7)
+    sampled, words = line_dedup.rarity_classes(docs_of(docs), "doc_id", "text")
+    assert 0 < sum(c > 0 for c in sampled) < len({w for _, t in docs for w in t.split()}) and words % line_dedup.SAMPLED == 0
+    got = {(x.doc_id, k) for x in line_dedup.removed_lines(docs_of(docs)).collect() for k in x.removed}
+    assert got == plain_removed(docs)
+
+
+def test_line_dedup_posts_the_first_gram_of_a_run(docs_of, monkeypatch):
+    """Near copies share nearly all their grams; they are posted where a run of shared ones begins, not at each of them."""
+    r, counts, write = random.Random(5), {}, line_dedup.Tables.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Tables, "write", counted)
+    docs = []
+    for i in range(60):
+        words = [f"p{i}x{j}" for j in range(60)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(["new", *words[1:]]) if i % 2 else " ".join(r.sample(words, 57)))]
+    got = {(x.doc_id, k) for x in line_dedup.removed_lines(docs_of(docs)).collect() for k in x.removed}
+    assert got == {(2 * i + 1, 0) for i in range(60)} == plain_removed(docs)
+    assert 60 <= counts["posts"] <= 5 * 60
+
+
 def test_prefixes_hold_a_common_gram():
     """Of any two similar sets of few tokens, for each width."""
     r = random.Random(8)
