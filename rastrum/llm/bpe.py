@@ -5,7 +5,8 @@ parallel, as rows of their own. A pre-token depends only on the text from its st
 chunks share a boundary they agree on every later one: there they are stitched, and each chunk's pieces up to the next
 stitch are encoded. Boundaries within the last few code points of a chunk may change with the text that follows and
 are not trusted. Where an overlap holds no common boundary, as in a word longer than it, scanning goes on from the last
-good boundary until it meets a later chunk's. Shorter texts are one chunk and are encoded where they are read. Decoding
+good boundary until it meets a later chunk's. Shorter texts are one chunk and are encoded where they are read, by
+tiktoken's own scanner, and once where rows of the same text follow each other, as a mix's copies do. Decoding
 concatenates the tokens' raw bytes.
 
 Cases: a null text counts as empty; an empty text has no tokens. Very long texts are chunks of bounded size until they
@@ -63,6 +64,7 @@ class Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.core = core._core_bpe
         self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.digits = {v: str(v) for v in ranks.values()}
@@ -76,10 +78,11 @@ class Codec:
         return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_pieces(self.pattern.findall(text))
+        """As encode_pieces() of all that the pattern finds, which a test holds it to."""
+        return self.core.encode_ordinary(text)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int]) -> bytes:
+        return self.core.decode_bytes(ids)
 
     def joined(self, ids: Iterable[int]) -> str:
         return ",".join(map(self.digits.__getitem__, ids))
@@ -177,6 +180,16 @@ def _batches(rows: Iterable[tuple[int, list]], schema: pa.Schema) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held), schema)], schema=schema)
 
 
+def encoded(c: Codec, rows: Iterable[list], make: list[Callable[[Codec, list[int]], object]]) -> Iterator[tuple[int, list]]:
+    """For _batches(), of rows (kept, text); a text that is the one before it is not encoded again."""
+    before, made = None, []
+    for kept, text in rows:
+        if (text := text or "") != before:
+            ids = c.encode(text)
+            before, made = text, [f(c, ids) for f in make]
+        yield len(text) + 64, [kept, *made]
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, keep: list[str], outputs: list[str], text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The kept columns of every document and the named OUTPUTS of its ids; none of both may have the same name."""
     if clash := {k.lower() for k in keep} & {o.lower() for o in outputs}:
@@ -194,14 +207,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, keep: list[str], outputs:
                 yield [x[i].as_py() for x in b.columns]
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks, pattern)
-
-        def each():
-            for kept, text in rows(batches):
-                ids = c.encode(text := text or "")
-                yield len(text) + 64, [kept, *[f(c, ids) for f in make]]
-
-        yield from _batches(each(), out_arrow)
+        yield from _batches(encoded(codec(ranks, pattern), rows(batches), make), out_arrow)
 
     short = docs.where(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(whole, out)
 
@@ -248,7 +254,7 @@ def decode(frame: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") ->
     @F.pandas_udf("binary")
     def to_bytes(ids):
         c = codec(ranks, pattern)
-        return ids.map(lambda x: None if x is None else c.decode(x))
+        return ids.map(lambda x: None if x is None else c.decode(x.tolist()))
 
     return frame.withColumn("bytes", to_bytes(F.col(ids_col)))
 

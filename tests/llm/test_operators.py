@@ -101,6 +101,31 @@ def test_bpe(odd_docs, tokens):
         assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got)
 
 
+def test_bpe_scanner(tokens):
+    """The native scanner finds the pattern's own pieces, next to every code point and in long runs."""
+    *_, c, _ = tokens
+    known = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{x} b1{x}  {x}x" for x in known[i : i + 2000]) for i in range(0, len(known), 2000)]
+    texts += [x * (bpe.CHUNK // len(x)) for x in (" ", "a", "\n ", "'", "1", "\u3000", "ab", " .")] + [" " * (bpe.CHUNK - 1) + "a", ""]
+    for t in texts:
+        ids = c.encode(t)
+        assert ids == c.encode_pieces(c.pattern.findall(t)) and c.decode(ids) == t.encode()
+
+
+def test_bpe_repeated_rows():
+    """Copies that follow each other, as those of a mix, are encoded once."""
+    seen = []
+
+    class Counting:
+        def encode(self, text):
+            seen.append(text)
+            return [len(text)]
+
+    rows = [["a", "x"], ["a", "x"], ["b", None], ["c", ""], ["d", "yy"], ["d", "yy"], ["e", "x"]]
+    got = list(bpe.encoded(Counting(), rows, [lambda c, ids: ids[0]]))
+    assert [r for _, r in got] == [[k, len(t or "")] for k, t in rows] and seen == ["x", "", "yy", "x"]
+
+
 # 2
 def test_language_id(spark):
     out = langid.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
