@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from rastrum.sources.raster import decode_blobs, raster_info
 
+#: The end of a file's name that tells where its blob lies in the raster.
+PLACE = "@([0-9]+)_([0-9]+)$"
+
 
 def _blobs(spark: SparkSession, path: str) -> DataFrame:
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).load(path)
-    return files.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("raster_id"), F.col("content").alias("blob"))
+    name = F.element_at(F.split("path", "/"), -1)
+    place = [F.coalesce(F.expr("try_cast(x AS int)".replace("x", f"regexp_extract(name, '{PLACE}', {k})")), F.lit(0)).alias(c) for k, c in ((1, "first_row"), (2, "first_col"))]
+    files = files.select(name.alias("name"), "content")
+    return files.select(F.url_decode(F.regexp_replace("name", PLACE, "")).alias("raster_id"), *place, F.col("content").alias("blob"))
 
 
 def stream_info(spark: SparkSession, path: str) -> DataFrame:

@@ -76,6 +76,54 @@ def test_writer(spark, tmp_path):
         spark.read.format("raster").option("dtype", "f32").load(str(path)).collect()
 
 
+def values_of(df):
+    return sorted((tuple(r) for r in df.select("raster_id", "band", "row", "col", "depth", "value").collect()), key=str)
+
+
+def tall(spark, raster_id="t", rows=1030, cols=3):
+    """Two bands, the second shorter, values on a grid of halves; no rows of the second 512 rows but the last of them."""
+    from pyspark.sql import functions as F
+
+    from rastrum.operators import grid
+
+    place = spark.range(rows * cols).withColumn("band", F.explode(F.array(F.lit(0), F.lit(1)))).where(f"band = 0 OR id < {700 * cols}")
+    pixels = grid.from_table(place, F.col("id"), cols, F.when(F.col("id") % 5 != 0, (F.col("id") + F.col("band")) / 2), raster_id, band=F.col("band"))
+    return pixels.where("row < 512 OR row >= 1024 OR (band = 1 AND row = 699)")
+
+
+def test_large_rasters_are_cut(spark, tmp_path):
+    """No task holds a whole raster; places, ranges and tolerances are those of the whole."""
+    pixels = tall(spark, "a@1_2")
+    blobs = raster.encode_pixels(pixels, "f64", 0.001).cache()
+    parts = [(r["first_row"], r["first_col"]) for r in blobs.collect()]
+    assert sorted(parts) == [(0, 0), (512, 0), (1024, 0)]
+    have = {r[:5]: r[5] for r in values_of(pixels)}
+    want = [("a@1_2", b, r, c, 0, have.get(("a@1_2", b, r, c, 0))) for b, n in ((0, 1030), (1, 700)) for r in range(n) for c in range(3)]
+    assert values_of(raster.decode_blobs(blobs)) == sorted(want, key=str)
+    infos = {r["band"]: r for r in raster.raster_info(blobs, strict=True).collect()}
+    assert len(infos) == 2 and all(i["tolerance"] == 0.25 and i["width"] == 3 and i["bands"] == 2 for i in infos.values())
+    for b, i in infos.items():
+        v = [x for k, x in have.items() if k[1] == b and x is not None]
+        assert (i["valid_pixels"], i["min_value"], i["max_value"], i["height"]) == (len(v), min(v), max(v), (1030, 700)[b])
+    raster.register(spark)
+    blobs.write.format("raster").mode("append").save(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 3
+    assert values_of(spark.read.format("raster").load(str(tmp_path / "out"))) == sorted(want, key=str)
+
+
+def test_streams_of_cut_rasters(spark, tmp_path):
+    from rastrum.streaming.ingest import stream_pixels
+
+    raster.register(spark)
+    pixels = tall(spark, "s @3_4")
+    blobs = raster.encode_pixels(pixels, "f64").cache()
+    blobs.write.format("raster").mode("append").save(str(tmp_path / "out"))
+    q = stream_pixels(spark, str(tmp_path / "out")).writeStream.format("memory").queryName("cut").start()
+    q.processAllAvailable()
+    q.stop()
+    assert values_of(spark.table("cut")) == values_of(raster.decode_blobs(blobs))
+
+
 def test_damaged_and_null_blobs(spark):
     blobs = spark.createDataFrame([("null", None), ("junk", b"junk")], "raster_id string, blob binary")
     for r in ("null", "junk"):
