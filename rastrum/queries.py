@@ -543,26 +543,23 @@ def roundtrip_types(spark, d):
 
 # Blobs in forms that the writer does not make, laid out by hand.
 def laid_out(pixels: DataFrame, kind: str) -> DataFrame:
-    """(raster_id, blob); a raster is one group. kind: sweep, sweep_3 (version 3), version_2 or older."""
+    """(raster_id, first_row, first_col, blob), as encode_pixels(). kind: sweep, sweep_3 (version 3), version_2 or older."""
     import numpy as np
     import pyarrow as pa
 
     def one(g: pa.Table) -> pa.Table:
         from rastrum.codec import samples
 
-        r, c, v = (g.column(x) for x in ("row", "col", "value"))
-        shape = (max(r.to_pylist()) + 1, max(c.to_pylist()) + 1)
-        values, valid = np.zeros(shape), np.zeros(shape, bool)
-        values[r.to_numpy(), c.to_numpy()] = v.fill_null(0.0).to_numpy()
-        valid[r.to_numpy(), c.to_numpy()] = v.is_valid().to_numpy()
+        values, valid = (x[:, :, 0] for x in raster.part_arrays(g))
         if kind == "older":
             blob = samples.older(values.astype(np.float32), valid, 0.5)
         else:
             small = values.astype(np.uint8)[:, :, None]
             blob = samples.version_2(small, valid) if kind == "version_2" else samples.one_sweep(small, valid, 3 if kind == "sweep_3" else 4)
-        return pa.table({"raster_id": [kind], "blob": pa.array([blob], pa.binary())})
+        place = {c: pa.array([g.column(c)[0].as_py()], pa.int32()) for c in ("first_row", "first_col")}
+        return pa.table({"raster_id": [kind], **place, "blob": pa.array([blob], pa.binary())})
 
-    return pixels.groupBy("raster_id").applyInArrow(one, "raster_id string, blob binary")
+    return raster.in_parts(pixels).groupBy(*raster.PART).applyInArrow(one, "raster_id string, first_row int, first_col int, blob binary")
 
 
 KINDS = ("sweep", "sweep_3", "version_2", "older")
@@ -606,7 +603,7 @@ def header_versions(spark, d):
 def damaged_blobs(spark, d):
     """A null and a damaged blob between good ones, read permissively: no pixels of theirs, an error each."""
     good = raster.encode_pixels(sizes(spark, d), "u8")
-    bad = good.select(F.explode(F.array(F.struct(F.lit("null").alias("raster_id"), F.lit(None).cast("binary").alias("blob")), F.struct(F.lit("cut").alias("raster_id"), F.expr("substring(blob, 1, 100)").alias("blob")))).alias("x")).select("x.*")
+    bad = good.where("first_row = 0 AND first_col = 0").select("first_row", "first_col", F.explode(F.array(F.struct(F.lit("null").alias("raster_id"), F.lit(None).cast("binary").alias("blob")), F.struct(F.lit("cut").alias("raster_id"), F.expr("substring(blob, 1, 100)").alias("blob")))).alias("x")).select("x.raster_id", "first_row", "first_col", "x.blob")
     blobs = good.unionByName(bad)
     pixels = raster.decode_blobs(blobs, strict=False).agg(F.count(F.when(F.col("raster_id") != "part", 1)).cast("int").alias("damaged_pixels"), F.count("*").alias("good_pixels"))
     errors = raster.raster_info(blobs).agg(F.count("error").alias("errors"))

@@ -124,6 +124,20 @@ def test_streams_of_cut_rasters(spark, tmp_path):
     assert values_of(spark.table("cut")) == values_of(raster.decode_blobs(blobs))
 
 
+@pytest.mark.parametrize("kind", Q.KINDS)
+def test_laid_out_of_more_rows_than_a_blob_may_have(spark, kind):
+    """The older format ends at 20000 rows."""
+    from pyspark.sql import functions as F
+
+    from rastrum.operators import grid
+
+    pixels = grid.from_table(spark.range(40100), F.col("id"), 2, F.when(F.col("id") % 3 != 1, F.col("id") % 50), "big")
+    blobs = Q.laid_out(pixels, kind).cache()
+    assert values_of(raster.decode_blobs(blobs)) == values_of(pixels.withColumn("raster_id", F.lit(kind)))
+    (i,) = raster.raster_info(blobs, strict=True).collect()
+    assert (i["height"], i["width"], i["max_value"]) == (20050, 2, 49)
+
+
 def test_damaged_and_null_blobs(spark):
     blobs = spark.createDataFrame([("null", None), ("junk", b"junk")], "raster_id string, blob binary")
     for r in ("null", "junk"):
